@@ -4,19 +4,97 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm.common import table
-from docweave.llm.near_dedup import near_duplicates
+from docweave.llm import decontaminate, line_dedup, near_dedup, piece_dropout, quality_classifier, quality_rules, shard, token_store
+from docweave.llm.common import scratch_path, table
+
+
+def op1_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.classify(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, line, content, length(content) AS chars
+  FROM (SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS line, unnest(parts) AS content
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+), windows AS (
+  SELECT doc_id, line, level, list(content) OVER w AS run, count(*) OVER w AS n, sum(chars) OVER w AS chars
+  FROM lines, (VALUES (0)) AS v(level) WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND CURRENT ROW)
+  {" ".join(f'''UNION ALL SELECT doc_id, line, {k}, list(content) OVER w{k}, count(*) OVER w{k}, sum(chars) OVER w{k}
+  FROM lines WINDOW w{k} AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {2**k - 1} FOLLOWING)''' for k in range(1, line_dedup.LEVELS + 1))}
+), judged AS (
+  SELECT doc_id, line, level, run FROM windows WHERE n = 1 << level AND chars >= {line_dedup.MIN_CHARS}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY level) = 1
+), later AS (
+  SELECT doc_id, line, 1 << level AS run FROM judged QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, line) > 1
+), marked AS (
+  SELECT l.doc_id, l.line, l.content,
+    coalesce(max(l.line + r.run) OVER (PARTITION BY l.doc_id ORDER BY l.line ROWS UNBOUNDED PRECEDING), 0) > l.line AS gone
+  FROM lines l LEFT JOIN later r ON r.doc_id = l.doc_id AND r.line = l.line
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS begins FROM marked
+), texts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, count(*) FILTER (begins) AS n_runs,
+    coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_deleted, n_runs, strlen(text) AS kept_bytes, sha256(text) AS kept_sha256 FROM texts
+"""
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.item_digest().alias("items_sha256"), "contaminated")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_store(spark, folder)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_dropout.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "variant", "n_pieces", "ids_crc32", F.col("decoded_crc32").alias("text_crc32"), "lossless")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.balanced_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_minhash": op4_minhash}
+    return {
+        "op1_classifier": op1_classifier,
+        "op4_minhash": op4_minhash,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_decontamination": op6_decontamination,
+        "op7_token_store": op7_token_store,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_sentencepiece": op9_sentencepiece,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": OP5_SQL}

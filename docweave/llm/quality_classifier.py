@@ -159,3 +159,22 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 def held_out() -> Column:
     """Rows that are never learned from: crc32 of the id as text, modulo 3, is 1; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def _passes(shared, at: int):
+    score = _score(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            texts = pa.RecordBatch.from_arrays([pa.nulls(len(column), pa.int64()), column], ["doc_id", "text"])
+            scores = np.concatenate([b.column(1).to_numpy() for b in score(iter([texts]))] or [np.zeros(0)])
+            yield batch.filter(pa.array(scores >= 0.5, pa.bool_()))
+
+    return run
+
+
+def filter_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score 0.5 or more; one pass, no join back."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.projected(), float(model.bias[1] - model.bias[0])))
+    return docs.mapInArrow(_passes(shared, docs.columns.index(text_col)), docs.schema)

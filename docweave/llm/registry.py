@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, line_dedup, near_dedup, piece_dropout, quality_classifier, quality_rules, shard, token_store
+from docweave.llm import decontaminate, line_dedup, near_dedup, piece_dropout, quality_classifier, quality_rules, shard, substring_dedup, token_store, warc
 from docweave.llm.common import scratch_path, table
 
 
@@ -19,6 +19,26 @@ def op1_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.capture_digests(warc.read_records(spark, folder))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+heads AS (SELECT h, min(page_id) AS head FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT p.page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN head < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN head < p.page_id THEN head END AS refers_to
+FROM p LEFT JOIN heads USING (h)
+"""
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_substrings(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -86,6 +106,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_classifier": op1_classifier,
+        "op2_warc": op2_warc,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash": op4_minhash,
         "op5_line_dedup": op5_line_dedup,
         "op6_decontamination": op6_decontamination,
@@ -97,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op5_line_dedup": OP5_SQL}

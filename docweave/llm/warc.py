@@ -53,9 +53,11 @@ def write_archive(pages: DataFrame, folder: str) -> None:
     light = rows.where(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
     heads = light.groupBy("digest").agg(F.min("page_id").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")
     # What a row is depends on (digest, page_id) alone: the hot digest's rows meet its head without their payloads.
-    fates = light.join(heads, "digest").select(F.col("digest").alias("fate_digest"), F.col("page_id").alias("fate_page"), F.lit(True).alias("shared"), "head")
-    rows = rows.join(fates, (F.col("digest") == F.col("fate_digest")) & F.col("page_id").eqNullSafe(F.col("fate_page")), "left")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")))
+    # One key column for the join and the numbering of copies, so that payloads are shuffled once.
+    key = F.concat_ws("|", "digest", F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("key")
+    fates = light.join(heads, "digest").select(key, F.lit(True).alias("shared"), "head")
+    rows = rows.select("*", key).join(fates, "key", "left")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("url")))
 
     def name(page: Column, copy: Column, kind: str) -> Column:
         h = F.md5(F.concat_ws("|", F.lit(kind), "digest", F.coalesce(page.cast("string"), F.lit("null")), copy.cast("string")).cast("binary"))

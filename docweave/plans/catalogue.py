@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from docweave.plans import compare_queries, store_queries, versions
+
+ALL = compare_queries.QUERIES | store_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("documents"))
+    """Every change between the paired versions of the documents."""
+    return versions.comparison(spark, sf_dir).changes.select("pair", "change_id", "kind", "b_node", "c_node", "b_text", "c_text", "confidence")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -116,20 +116,24 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return stored(matching.score(stored(matching.candidates(left_b, left_c), "candidates"), left_b, left_c), "scored"), b, c
 
 
+def _millionths(name: str):
+    return F.round(F.col(name) * 1e6).cast("long").alias(f"{name}_e6")
+
+
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = matching.chosen(matching.best_candidates(_scored(spark, sf_dir)[0]))
-    return found.withColumn("score", F.round("score", 4))
+    return found.select("pair", "b_idx", "c_idx", "type", "confidence", _millionths("score"))
 
 
-FUZZY_SQL = f"WITH {FUZZY} SELECT pair, b_idx, c_idx, type, CASE WHEN score >= {matching.HIGH_SCORE} THEN 'High' ELSE 'Medium' END AS confidence, round(score, 4) AS score FROM won"
+FUZZY_SQL = f"WITH {FUZZY} SELECT pair, b_idx, c_idx, type, CASE WHEN score >= {matching.HIGH_SCORE} THEN 'High' ELSE 'Medium' END AS confidence, CAST(round(score * 1e6) AS BIGINT) AS score_e6 FROM won"
 
 
 def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)[0]
-    return scored.select("pair", "b_idx", "c_idx", *(F.round(c, 4).alias(c) for c in ("text_score", "position_score", "context_score")), F.round("score", 4).alias("score"), "type")
+    return scored.select("pair", "b_idx", "c_idx", *map(_millionths, ("text_score", "position_score", "context_score", "score")), "type")
 
 
-SCORES_SQL = f"WITH {FUZZY} SELECT pair, b_idx, c_idx, round(text_score, 4) AS text_score, round(position_score, 4) AS position_score, round(context_score, 4) AS context_score, round(score, 4) AS score, type FROM scored"
+SCORES_SQL = f"WITH {FUZZY} SELECT pair, b_idx, c_idx, CAST(round(text_score * 1e6) AS BIGINT) AS text_score_e6, CAST(round(position_score * 1e6) AS BIGINT) AS position_score_e6, CAST(round(context_score * 1e6) AS BIGINT) AS context_score_e6, CAST(round(score * 1e6) AS BIGINT) AS score_e6, type FROM scored"
 
 
 def match_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ _U = np.uint64
 TABLE_BITS, NGRAMS = 18, (3, 5)
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 4_000
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = TABLE_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,7 +43,9 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = TABLE_BITS) -> I
     first = np.ones(len(hashes) + 1, bool)
     first[cuts] = False  # the first word of a row follows none
     pair = np.flatnonzero(first[:-1])
-    yield (mix(hashes[pair - 1] * _U(3) + hashes[pair] + _U(2)) >> shift).astype(np.int64), np.searchsorted(pair, cuts)
+    # A word that follows itself is one feature, whatever the word.
+    both = np.where(hashes[pair - 1] == hashes[pair], _U(99), hashes[pair - 1] * _U(3) + hashes[pair])
+    yield (mix(both + _U(2)) >> shift).astype(np.int64), np.searchsorted(pair, cuts)
     gap = SPACES[padded]
     gaps = np.zeros(len(padded) + 1, np.int32)
     np.cumsum(gap, out=gaps[1:])
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     ours = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(ours)
     chosen = label.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
     rows = texts.mapInArrow(_bags, "doc_id long, quality int, ids binary, counts binary").toArrow().sort_by("doc_id").to_pydict()
     bags = [(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
     return train(bags, np.array(rows["quality"], np.int64))

@@ -6,19 +6,31 @@ task depends on the block size and on the longest single text, not on the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+#: Rows and bytes of one Arrow batch to Python, at most: whole texts may be long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small unless the session already asks for smaller ones."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +55,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(step: Callable) -> Callable:
+    """``step`` over batches, giving memory that its arrays took back to the system when a task ends: workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --- hashing -----------------------------------------------------------------
 
 _U = np.uint64

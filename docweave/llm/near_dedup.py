@@ -9,9 +9,13 @@ Distributed shape:
 
 * one pass over the texts gives set size, a 128-bit set fingerprint and the band keys;
 * equal sets collapse to one representative, so groups of exact copies cost one row;
-* rows of a band bucket are never paired with each other: each round compares a pivot
-  (later: a growing set of pivots) with the members of other components, links that
-  the full sets confirm merge components, and buckets with one component left go.
+* rows of a band bucket are not paired with each other: a round compares each bucket's
+  pivot with its members of other components, links that the full sets confirm merge
+  components, and buckets with one component left go;
+* after the first round, buckets that still hold several components are replaced by
+  buckets of rare shingles (prefix filtering, which loses no link);
+* the last round compares what is still outside a bucket's largest component with the
+  members of the others; pairs that exact bounds rule out are not made.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import SPACES, list_column, lower_ascii, mix, row_bounds, stored, text_blocks, word_hashes, words
+from docweave.llm.common import SPACES, list_column, lower_ascii, mix, row_bounds, stored, text_blocks, tidied, word_hashes, words
 from docweave.llm.components import connected_components
 
 _U = np.uint64
@@ -90,7 +94,7 @@ def super_minhash(hashes: np.ndarray, row: np.ndarray, n: int, slots: int) -> np
 def _profile(bands: int, band_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column(1), 1 << 20):
+            for first, last, data, offsets in text_blocks(batch.column(1)):
                 n = last - first
                 hashes, row = shingle_sets(data, offsets)
                 bounds = row_bounds(row, n)
@@ -136,6 +140,35 @@ def _confirm(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, data, offsets in text_blocks(batch.column(1)):
+            hashes, row = shingle_sets(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row, pa.int64())), pa.array(hashes.view(np.int64))], ["id", "shingle"])
+
+
+def _prefix_buckets(state: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Buckets by rare shingle for the members of band buckets that still hold several components.
+
+    In the order of rarity among these members, two linked sets share one of their first
+    n - ceil(percent * n / 100) + 1 shingles, so these are the only keys needed. Edits make
+    rare shingles: near misses of one origin fill this prefix with shingles of their own (u
+    counts those that no other member has) and leave, while the shingles that all copies
+    share are keys only of members close to the origin, which are linked by then.
+    """
+    several = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = stored(state.join(several, "key").select("id", "n", "component").distinct(), "several")
+    own = stored(texts.join(left.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidied(_shingles), "id long, shingle long"), "shingles")
+    count = own.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    alone = count.where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    prefix = F.expr(f"n - ceil({percent} * n / 100) + 1 - coalesce(u, 0)").cast("int")
+    members = stored(left.join(alone, "id", "left").select("id", "n", "component", F.coalesce("u", F.lit(0)).cast("long").alias("u"), prefix.alias("room")).where("room > 0"), "members")
+    common = own.join(members.select("id"), "id", "left_semi").join(count.where("c > 1").select("shingle", "c"), "shingle")
+    ranked = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("order"))  # one document's shingles
+    keys = ranked.join(members, "id").select("id", "n", "u", "component", F.posexplode(F.slice("order", F.lit(1), F.col("room"))).alias("k", "x"))
+    return keys.select(F.col("x.shingle").alias("key"), "id", "n", "u", (F.col("u") + F.col("k")).alias("place"), "component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -150,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, band
     read, so they may have any name. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(source.mapInArrow(_profile(bands, band_rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "minhash")
+    profile = stored(source.mapInArrow(tidied(_profile(bands, band_rows)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "minhash")
     real = profile.where("doc_id is not null and n_shingles > 0")
     classes = stored(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -160,32 +193,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, band
     texts = stored(source.where("doc_id is not null").join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     # A doc_id that several different texts share has one class per text; they are one node, and each pair is judged by one text of it.
     component = candidates.select("id", F.col("id").alias("component"))
-    open_buckets = buckets
-    step = 0
-    while True:
+    zero = F.lit(0).cast("long")
+    open_buckets = buckets.withColumns({"u": zero, "place": zero})
+    # Bands, then rare shingles: a pivot of each bucket against its members; at last every member outside a bucket's largest component.
+    for number, step in enumerate(("bands", "rare", "rare", "rest")):
         state = stored(open_buckets.join(component, "id"), "state")
-        stats = state.groupBy("key").agg(F.min(F.struct("id", "n", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
-        stats = stored(stats, "pivots")
+        if number == 1:
+            state = stored(_prefix_buckets(state, texts, percent), "prefixes")
+        if step == "rest":
+            most = state.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+            stats = stored(most.select("key", "main"), "pivots")
+        else:
+            stats = state.groupBy("key").agg(F.min(F.struct("u", "id", "n", "place", "component")).alias("q"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            stats = stored(stats.drop("low", "high"), "pivots")
         if not stats.limit(1).count():
             break
-        # The share of further pivots doubles from the fourth round on, so rounds are few whatever a bucket holds.
-        share = min(1.0, 2.0 ** (step - 3) / 64) if step >= 3 else 0.0
         state = state.join(stats, "key")
-        is_pivot = (F.col("id") == F.col("p.id")) | ((F.abs(F.xxhash64("id", F.lit(step))) % 65536) < int(share * 65536)) if share else F.col("id") == F.col("p.id")
-        state = state.withColumn("is_pivot", is_pivot)
-        if share:
-            pivots = state.where("is_pivot").select("key", F.struct("id", "n", "component").alias("q"))
-            pairs = state.drop("p").join(pivots, "key").where("not is_pivot or q.id < id")
+        if step == "rest":
+            strays = state.where("component <> main").select("key", F.struct("u", "id", "n", "place", "component").alias("q"), F.col("main").alias("m"))
+            pairs = state.join(strays, "key").where("component = main or q.id < id")
         else:
-            pairs = state.where("not is_pivot").withColumnRenamed("p", "q")
-        pairs = pairs.where(f"component <> q.component and 100 * least(n, q.n) >= {percent} * greatest(n, q.n)").select(F.col("q.id").alias("pivot"), "id").distinct()
+            state = state.withColumn("is_pivot", F.col("id") == F.col("q.id"))
+            pairs = state.where("not is_pivot")
+        both = "least(n - u, q.n - q.u)"
+        # Length bound; bound on common shingles; and, the key being the first that a linked pair shares, bound on what can follow it.
+        pairs = pairs.where(
+            f"component <> q.component and 100 * least(n, q.n) >= {percent} * greatest(n, q.n) and 100 * {both} >= {percent} * (n + q.n - {both})"
+            f" and (100 + {percent}) * least(n - place, q.n - q.place) >= {percent} * (n + q.n)"
+        ).select(F.col("q.id").alias("pivot"), "id").distinct()
         loaded = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("text_b")), "id").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_a")), "pivot")
-        links = stored(loaded.select("pivot", "id", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+        links = stored(loaded.select("pivot", "id", "text_a", "text_b").mapInArrow(tidied(_confirm(percent)), "a long, b long"), "links")
         named = links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
         merged = connected_components(named.select("ca", "cb"))
         component = stored(component.join(merged.select(F.col("node").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
-        open_buckets = state.where("not is_pivot").select("key", "id", "n")
-        step += 1
+        if step != "rest":
+            open_buckets = state.where("not is_pivot").drop("q", "is_pivot", "component")
     named = classes.select("n_shingles", "set_a", "set_b", "id").join(component, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = profile.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

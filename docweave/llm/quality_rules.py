@@ -249,6 +249,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     label = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     order = F.xxhash64("doc_id")
     chosen = label.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(sample_rows)
+    chosen = F.broadcast(chosen)  # sample_rows pairs of numbers at most
     texts = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
     sample = text_statistics(texts).join(chosen, "doc_id").where(~base_failed()).orderBy(order, *STATISTICS).toPandas()  # bounded by sample_rows, or the copies of those ids
     rules = learn_rules({k: sample[k].to_numpy(np.int64) for k in STATISTICS}, sample["quality"].to_numpy() == 1)

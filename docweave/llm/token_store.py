@@ -6,7 +6,7 @@ Layout under one folder on shared storage (all Parquet):
 * ``recipes``: one row per document in ascending doc_id order (``part`` numbers the files): n_tokens, the chunk hashes in order, the Merkle root over them;
 * ``manifests``: one row per part: documents, ids, and the Merkle root over the documents' roots.
 
-Chunks end where a rolling hash of the last 16 ids has its low bits zero, so equal passages
+Chunks end where a rolling sum of hashes of the last 16 ids has its high bits zero after mixing, so equal passages
 give equal chunks wherever they start. A task drops chunks it has already sent, then one
 shuffle on the hash brings equal chunks together, so a chunk that all documents share costs
 one row per task. Reading verifies every chunk hash and every Merkle root; a document's CRC
@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,44 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import Prefix, mix
+from docweave.llm.common import mix, tidied
 
 _U = np.uint64
-ROLL, MASK, LEAST, MOST = 16, 255, 48, 2048
+#: Chunks end where the hash of the last ROLL ids has its BITS high bits zero, and hold LEAST to MOST ids (a text's last may be shorter).
+ROLL, BITS, LEAST, MOST = 16, 9, 64, 4096
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 BLOCK_ROWS_BYTES = 4 << 20
 
 
+#: 1: a-z; 2: ASCII punctuation without the apostrophe; 0: all else.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[97:123] = 1
+for _low, _high in ((33, 39), (40, 48), (58, 65), (91, 97), (123, 127)):
+    _CLASS[_low:_high] = 2
+
+
+def split_marks(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z in lower case and a space wherever a-z and punctuation meet, so that equal words repeat more often."""
+    texts = pc.ascii_lower(texts).cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = _CLASS[raw]
+    at = np.flatnonzero((kind[1:] | kind[:-1]) == 3) + 1
+    at = at[kind[at] != kind[at - 1]]
+    out = np.insert(raw, at, 32)
+    moved = offsets + np.searchsorted(at, offsets, "left")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(out))
+
+
 class WordEncoder:
-    """Ids of texts through a ``tokenizers`` file whose splits never cross ASCII white space.
+    """Ids of texts through a ``tokenizers`` file.
 
-    Words between white space are encoded once each and remembered, which gives the same ids
-    as encoding whole texts when the tokenizer drops white space; ``by_word`` False encodes
-    whole texts instead.
+    ``by_word`` is for tokenizers that ignore case, drop white space and never join letters
+    with punctuation: the text is then cut at white space and where ASCII letters and
+    punctuation meet, and each piece is encoded once and remembered, which gives the ids of
+    the whole text. Texts that may hold a special token are encoded whole.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -49,40 +73,79 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        probe = ["the", "zqxj", "internationalisation", "a"]
+        #: Words of a-z pass the normalizer and the split as they are, so the model alone gives their ids.
+        self.direct = by_word and [[t.id for t in self.tokenizer.model.tokenize(w)] for w in probe] == [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.flat, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+
+    def words(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``whole``, for words without white space; words of letters only take shorter ways."""
+        found: list = [None] * len(names)
+        rest, letters = [], []
+        tokenize = self.tokenizer.model.tokenize
+        for k, w in enumerate(names):
+            if self.direct and w.isalpha():
+                if w.isascii():
+                    found[k] = [t.id for t in tokenize(w)]
+                    continue
+                if w.lower().isalpha():
+                    letters.append(k)
+                    continue
+            rest.append(k)
+        # Words of letters are one split each, and its last id ends a word: many can share one call.
+        for a in range(0, len(letters), 512):
+            part = letters[a : a + 512]
+            ids = self.tokenizer.encode_batch_fast([" ".join(names[k] for k in part)], add_special_tokens=False)[0].ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                rest += part
+                continue
+            begin = 0
+            for k, stop in zip(part, stops, strict=True):
+                found[k] = ids[begin:stop]
+                begin = stop
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([names[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
-        if not self.by_word:
-            found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            counts = np.array([len(x) for x in found], np.int64)
-            return np.fromiter((i for x in found for i in x), np.int64, int(counts.sum())), counts
-        lists = pc.ascii_split_whitespace(texts)
-        coded = lists.values.dictionary_encode() if isinstance(lists, (pa.ListArray, pa.LargeListArray)) else lists.combine_chunks().values.dictionary_encode()
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        if not self.by_word or special.any():
+            parts = [self.encode(texts.slice(k, 1)) if self.by_word and not special[k] else self.whole(texts.slice(k, 1).to_pylist()) for k in range(len(texts))]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        lists = pc.ascii_split_whitespace(split_marks(texts))
+        coded = lists.values.dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        missing = [w for w in names if w not in self.index]
-        if missing:
-            new = [e.ids for e in self.tokenizer.encode_batch(missing, add_special_tokens=False)]
-            for w in missing:
-                self.index[w] = len(self.index)
-            sizes = np.array([len(x) for x in new], np.int64)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in new for i in x), np.int64, int(sizes.sum()))])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        own = np.fromiter((self.index[w] for w in names), np.int64, len(names))
+        own = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            missing = [names[k] for k in new.tolist()]
+            own[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(missing, own[new].tolist(), strict=True))
+            ids, counts = self.words(missing)
+            self.flat = np.concatenate([self.flat, ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
         word = own[coded.indices.to_numpy()]
         first, size = self.bounds[word], self.bounds[word + 1] - self.bounds[word]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
-        ends = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return ids, np.diff(ends)
+        offsets = lists.offsets.to_numpy()
+        return ids, np.diff(total[offsets - offsets[0]])
 
 
 @cache
@@ -100,11 +163,16 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@cache
+def _id_values(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 2, dtype=_U))
+
+
 def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     """Chunk ends within each stream bounds[k]:bounds[k + 1] of ``ids``, the stream's end included."""
-    prefix = Prefix(mix(ids.astype(_U) + _U(1)))
-    at = np.arange(max(0, len(ids) - ROLL + 1))
-    marks = np.flatnonzero((mix(prefix.of(at, at + ROLL)) & _U(MASK)) == 0) + ROLL
+    sums = np.zeros(len(ids) + 1, _U)
+    np.cumsum(_id_values(1 << int(ids.max()).bit_length())[ids] if len(ids) else ids, dtype=_U, out=sums[1:])
+    marks = np.flatnonzero(((sums[ROLL:] - sums[:-ROLL]) * _U(0xD1342543DE82EF95)) >> _U(64 - BITS) == 0) + ROLL
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         ends, begin = [], a
@@ -198,9 +266,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, i
     the order of their roots; null ids come first. No rows: a store without rows.
     """
     spark = docs.sparkSession
-    objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(tokenizer, by_word, end_id, id_bytes), _OBJECTS)
-    placed = objects.repartition("route").mapInArrow(_once, _OBJECTS)
-    placed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
+    objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_encode(tokenizer, by_word, end_id, id_bytes)), _OBJECTS)
+    placed = objects.repartition("route").mapInArrow(tidied(_once), _OBJECTS)
+    placed.write.partitionBy("kind").option("compression", "lz4").parquet(f"{folder}/objects")
     _recipes(spark, folder).repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/recipes")
     recipes = spark.read.parquet(f"{folder}/recipes")
     recipes.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "root").select("part", "n_tokens", "root").mapInArrow(_manifest, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifests")
@@ -228,24 +296,30 @@ def _times(matrix: list[int], vector: int) -> int:
 
 
 @cache
-def _shift(length: int) -> tuple[np.ndarray, ...]:
-    """Four tables that carry a CRC over ``length`` bytes that follow."""
-    one = [_POLYNOMIAL] + [1 << k for k in range(31)]  # one bit
-    for _ in range(3):
-        one = [_times(one, x) for x in one]  # one byte
-    result = [1 << k for k in range(32)]
-    while length:
-        if length & 1:
-            result = [_times(one, x) for x in result]
+def _doubling(k: int) -> tuple[list[int], ...]:
+    """Four tables, one per byte of a CRC, that carry it over the 2**k bytes that follow."""
+    one = [_POLYNOMIAL] + [1 << i for i in range(31)]  # over one bit
+    for _ in range(3 + k):
         one = [_times(one, x) for x in one]
-        length >>= 1
-    return tuple([_times(result, b << s) for b in range(256)] for s in (0, 8, 16, 24))
+    out = []
+    for s in range(0, 32, 8):
+        table = [0] * 256
+        for b in range(1, 256):
+            table[b] = table[b & (b - 1)] ^ one[s + (b & -b).bit_length() - 1]
+        out.append(table)
+    return tuple(out)
 
 
 def crc_join(first: int, second: int, length: int) -> int:
     """CRC-32 of a sequence from those of its two parts; the second part has ``length`` bytes."""
-    a, b, c, d = _shift(length)
-    return a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24] ^ second
+    k = 0
+    while length:
+        if length & 1:
+            a, b, c, d = _doubling(k)
+            first = a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24]
+        length >>= 1
+        k += 1
+    return first ^ second
 
 
 def _check_chunks(id_bytes: int):
@@ -287,10 +361,10 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "row").rowsBetween(Window.unboundedPreceding, -1)
     numbered = recipes.withColumn("row", F.monotonically_increasing_id())
     starts = numbered.select("row", "part", "doc_id", "root", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(before, "part").select("row", (F.col("before") + F.col("inside")).alias("start"))
-    chunks = _objects(spark, folder).where("kind = 'chunk'").select(F.col("route").alias("hash"), "packed").mapInArrow(_check_chunks(id_bytes), "hash binary, chunk_n long, crc long")
+    chunks = _objects(spark, folder).where("kind = 'chunk'").select(F.col("route").alias("hash"), "packed").mapInArrow(tidied(_check_chunks(id_bytes)), "hash binary, chunk_n long, crc long")
     steps = numbered.select("row", "doc_id", "root", F.posexplode("hashes").alias("pos", "hash")).join(chunks, "hash")
     whole = steps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.collect_list(F.struct("pos", "hash", "chunk_n", "crc")).alias("chunks"))
-    read = whole.mapInArrow(_assemble, "row long, doc_id long, n_tokens long, ids_crc32 long")
+    read = whole.mapInArrow(tidied(_assemble), "row long, doc_id long, n_tokens long, ids_crc32 long")
     return read.join(starts, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -39,11 +39,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import BYTE_VALUES, Prefix, _byte_values, mix, stored
+from docweave.llm.common import BYTE_VALUES, Prefix, _byte_values, mix, stored, tidied
 
 _U = np.uint64
 LENGTH, GRAM = 100, 20
-BLOCK, FLUSH = 1 << 20, 1_000_000
+BLOCK, FLUSH = 1 << 19, 300_000
 BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 17
 #: Occurrences of one anchor that one task resolves; documents of the sample that finds more frequent ones.
 ANCHOR_ROWS, SAMPLE_DOCS = 50_000, 4_000
@@ -534,15 +534,15 @@ def removed_substrings(docs: DataFrame, length: int = LENGTH, anchor_rows: int =
     buckets = min(doc_buckets, MOST_BUCKETS)
 
     share = min(1.0, sample_docs / max(1, facts.rows))
-    seen = source.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(_anchors(length), "m long, n long")
+    seen = source.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(tidied(_anchors(length)), "m long, n long")
     often = seen.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") > max(3, anchor_rows * share)).orderBy(F.desc("n")).limit(100_000).collect() if facts.rows * 4 > anchor_rows else []
     frequent = np.array([r.m for r in often], np.int64).view(_U)
     parts = np.array([2 + int(r.n / share / anchor_rows) for r in often], np.int64)
     by = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((buckets, doc_buckets, frequent[by], parts[by]))
 
-    cut = source.mapInArrow(_cut(shared, length), _BLOBS)
-    met = stored(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(shared, length), _BLOBS), "segments")
+    cut = source.mapInArrow(tidied(_cut(shared, length)), _BLOBS)
+    met = stored(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_meet(shared, length)), _BLOBS), "segments")
     texts = source.withColumn("bucket", F.pmod("doc", F.lit(doc_buckets)))
     wanted = met.where("kind = 'wanted'").select("bucket", "blob")
     contexts = texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch(buckets, length), _CONTEXT)

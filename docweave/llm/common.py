@@ -62,13 +62,18 @@ def tidied(step: Callable) -> Callable:
         try:
             yield from step(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- hashing -----------------------------------------------------------------
 
 _U = np.uint64

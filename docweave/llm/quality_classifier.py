@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import BYTE_VALUES, SPACES, Prefix, mix, text_blocks, word_hashes, words
+from docweave.llm.common import BYTE_VALUES, SPACES, Prefix, give_back, mix, text_blocks, word_hashes, words
 
 _U = np.uint64
 TABLE_BITS, NGRAMS = 18, (3, 5)
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_500
 BLOCK = 1 << 19
 
 
@@ -144,7 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
     rows = texts.mapInArrow(_bags, "doc_id long, quality int, ids binary, counts binary").toArrow().sort_by("doc_id").to_pydict()
     bags = [(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
-    return train(bags, np.array(rows["quality"], np.int64))
+    model = train(bags, np.array(rows["quality"], np.int64))
+    del rows, bags
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

@@ -29,12 +29,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"ta": F.xxhash64("text"), "tb": F.xxhash64(F.lit(1), "text")})
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
-    """doc_id, ta, tb, line, deleted for every line of every document that loses lines (ta, tb: hashes of the text)."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """KEY, line, its hashes a and b, and chars for every line, by document."""
     lines = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"))
     lines = lines.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.select(*KEY, "line", F.xxhash64("content").alias("a"), F.xxhash64(F.lit(1), "content").alias("b"), F.length("content").cast("long").alias("chars"))
-    lines = lines.repartition(*KEY).dropDuplicates([*KEY, "line"])
+    return lines.repartition(*KEY).dropDuplicates([*KEY, "line"])
+
+
+def _flags(named: DataFrame, later: DataFrame) -> DataFrame:
+    """Lines of the documents that ``later`` (KEY, line, run: lines from it that go) touches, with their verdicts."""
+    touched = later.select(*KEY).distinct()
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in KEY]
+    every = named.select(*KEY, "line").alias("x").join(touched.alias("y"), same, "left_semi")
+    runs = every.withColumn("run", F.lit(0)).unionByName(later).groupBy(*KEY, "line").agg(F.max("run").alias("run"))
+    reach = F.max(F.col("line") + F.col("run")).over(Window.partitionBy(*KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return runs.select(*KEY, "line", (reach > F.col("line")).alias("deleted"))
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
+    """doc_id, ta, tb, line, deleted for every line of every document that loses lines (ta, tb: hashes of the text)."""
+    lines = _lines(docs)
     whole = Window.partitionBy(*KEY).orderBy("line")
     named = lines.withColumn("name", F.when(F.col("chars") >= min_chars, F.struct(F.lit(0).alias("level"), "a", "b")))
     for k in range(1, levels + 1):
@@ -48,12 +63,55 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LE
     named = stored(named.select(*KEY, "line", F.col("name.level").alias("level"), F.col("name.a").alias("a"), F.col("name.b").alias("b")), "line-names")
     first = named.where("level is not null").groupBy("level", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     later = named.where("level is not null").join(first, ["level", "a", "b"]).where(place > F.col("first")).select(*KEY, "line", F.expr("shiftleft(1, level)").alias("run"))
-    touched = later.select(*KEY).distinct()
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in KEY]
-    every = named.select(*KEY, "line").alias("x").join(touched.alias("y"), same, "left_semi")
-    runs = every.withColumn("run", F.lit(0)).unionByName(later).groupBy(*KEY, "line").agg(F.max("run").alias("run"))
-    reach = F.max(F.col("line") + F.col("run")).over(Window.partitionBy(*KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    return runs.select(*KEY, "line", (reach > F.col("line")).alias("deleted"))
+    return _flags(named, later)
+
+
+def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Like ``repeated_lines``, with runs of any number of lines.
+
+    A line lies in a repeated run of ``min_chars`` (1 at least) characters exactly if the shortest run
+    of so many from some line on, or the shortest up to some line, repeats and holds it: a longer run
+    can be cut at either end until it is one of these, with the line still inside. Which lines these
+    have follows from their content, so equal names find all that is equal. Lines without characters
+    at the outer end are counted, so that a name has ``min_chars`` lines at most.
+    """
+    lines = _lines(docs)
+    whole = Window.partitionBy(*KEY).orderBy("line")
+    upto = F.sum("chars").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("chars")).withColumn("solid", F.col("chars") > 0)
+    item = F.struct("line", "a", "b", "before", "upto")
+    solid = Window.partitionBy(*KEY, "solid")
+    # A line without characters is alone in its frame.
+    alone = F.col("line").cast("long") * min_chars
+    lines = lines.withColumns({"at": F.when(F.col("solid"), F.col("before")).otherwise(alone), "to": F.when(F.col("solid"), F.col("upto")).otherwise(alone)})
+    lines = lines.withColumn("ahead", F.collect_list(item).over(solid.orderBy("at").rangeBetween(0, min_chars - 1)))
+    lines = lines.withColumn("behind", F.collect_list(item).over(solid.orderBy("to").rangeBetween(1 - min_chars, 0)))
+
+    def run(items: str):
+        first, last = F.element_at(items, 1), F.element_at(items, -1)
+        names = (F.xxhash64(F.lit(k), F.transform(items, lambda x: F.struct(x["line"] - first["line"], x["a"], x["b"]))) for k in (0, 1))
+        a, b = names
+        found = F.struct(first["line"].alias("start"), (last["line"] + 1).alias("end"), (last["before"] - first["before"]).alias("but_last"), a.alias("a"), b.alias("b"))
+        return F.when(last["upto"] - first["before"] >= min_chars, found)
+
+    lines = lines.select(*KEY, "line", run("ahead").alias("ahead"), run("behind").alias("behind"))
+    # Where the nearest line with characters has no run, those beyond it have none either.
+    nearest = Window.partitionBy(*KEY)
+    lines = lines.withColumn("behind", F.last("behind", True).over(nearest.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("ahead", F.last("ahead", True).over(nearest.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)))
+    ahead, behind = F.col("ahead"), F.col("behind")
+    gap = F.col("line") + 1 - behind["end"]
+    names = F.array(
+        F.when(ahead.isNotNull(), F.struct(F.lit(0).alias("kind"), (ahead["start"] - F.col("line")).alias("gap"), ahead["a"].alias("a"), ahead["b"].alias("b"), F.col("line").alias("start"), ahead["end"].alias("end"))),
+        # Without its last line the run is too short: it is the shortest from its first line on as well.
+        F.when((gap > 0) | (behind["but_last"] >= min_chars), F.struct(F.lit(1).alias("kind"), gap.alias("gap"), behind["a"].alias("a"), behind["b"].alias("b"), behind["start"].alias("start"), (F.col("line") + 1).alias("end"))),
+    )
+    named = lines.select(*KEY, "line", F.explode_outer(F.filter(names, lambda x: x.isNotNull())).alias("run"))
+    named = stored(named.select(*KEY, "line", "run.*"), "line-runs")
+    name, place = ("kind", "gap", "a", "b"), F.struct(*KEY, "start")
+    first = named.where("kind is not null").groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    later = named.where("kind is not null").join(first, list(name)).where(place > F.col("first"))
+    return _flags(named, later.select(*KEY, F.col("start").alias("line"), (F.col("end") - F.col("start")).alias("run")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
@@ -67,7 +125,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVEL
     text are one document and lose the same lines; rows of one id with different texts are
     ordered by a hash. Columns of ``docs`` named like the new ones are replaced.
     """
-    flags = repeated_lines(docs, min_chars, levels)
+    return _without(docs, repeated_lines(docs, min_chars, levels))
+
+
+def dedup_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Like ``dedup_lines``, but a line is deleted if it lies in a run of any number of lines that holds ``min_chars`` characters and starts earlier."""
+    return _without(docs, repeated_runs(docs, min_chars))
+
+
+def _without(docs: DataFrame, flags: DataFrame) -> DataFrame:
+    """Every row and column of ``docs``, text without the lines that ``flags`` deletes, and n_lines, n_deleted, n_runs."""
     flags = flags.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "deleted"))), lambda x: x["deleted"]).alias("gone"))
     flags = flags.select(*(F.col(c).alias(f"_{c}") for c in KEY), F.col("gone").alias("_gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]

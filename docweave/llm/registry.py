@@ -44,7 +44,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _lines_left(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines_left(line_dedup.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _lines_left(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -110,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash": op4_minhash,
         "op5_line_dedup": op5_line_dedup,
+        "op5_line_runs": op5_line_runs,
         "op6_decontamination": op6_decontamination,
         "op7_token_store": op7_token_store,
         "op8_quality_rules": op8_quality_rules,

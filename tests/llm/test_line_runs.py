@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import random
+
+from docweave.llm.line_dedup import dedup_runs
+from docweave.llm.registry import queries
+
+
+def brute(rows, min_chars):
+    """doc_id -> text left: every line of every run, of any length, that holds min_chars and starts earlier as well."""
+    lines = {d: t.split("\n") for d, t in rows}
+    first = {}
+    for d in sorted(lines):
+        for i in range(len(lines[d])):
+            for j in range(i + 1, len(lines[d]) + 1):
+                first.setdefault(tuple(lines[d][i:j]), (d, i))
+    out = {}
+    for d, own in lines.items():
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(map(len, own[i:j])) >= min_chars and first[tuple(own[i:j])] < (d, i):
+                    gone.update(range(i, j))
+        out[d] = ("\n".join(x for i, x in enumerate(own) if i not in gone), len(own), len(gone), sum(i - 1 not in gone for i in gone))
+    return out
+
+
+def result(spark, rows, **more):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r.doc_id: (r.text, r.n_lines, r.n_deleted, r.n_runs) for r in dedup_runs(df, **more).collect()}
+
+
+def test_against_brute_force_over_all_lengths(spark):
+    rng = random.Random(8)
+    pool = ["", "", "a", "bc", "short", "a line of some length", "é" * 30, "x" * 60, "y" * 130]
+    passages = [[rng.choice(pool) + rng.choice(["", str(k)]) for _ in range(rng.randrange(1, 14))] for k in range(8)]
+    rows = []
+    for i in range(70):
+        lines = [rng.choice(pool) + rng.choice(["", "", str(i)]) for _ in range(rng.randrange(0, 12))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = rng.choice(passages)
+        rows.append((i, "\n".join(lines)))
+    rows += [(900, rows[5][1]), (903, ""), (904, "\n\n\n"), (906, "z\n" * 150)]
+    for min_chars in (1, 40, 100):
+        assert result(spark, rows, min_chars=min_chars) == brute(rows, min_chars)
+
+
+def test_runs_that_no_power_of_two_fits(spark):
+    three, seven, few = ["a" * 39 + str(i) for i in range(3)], ["b" * 19 + str(i) for i in range(7)], ["w" * 200, *("c" * 29 + str(i) for i in range(3))]
+    rows = []
+    for k, run in enumerate((three, seven, few)):
+        rows += [(10 * k, "\n".join(["own", *run, f"end {k}"])), (10 * k + 1, "\n".join([f"{k} starts", *run, "tail"])), (10 * k + 2, "\n".join(run))]
+    got = result(spark, rows)
+    for k in range(3):
+        assert got[10 * k][2] == 0
+        assert got[10 * k + 1][0] == f"{k} starts\ntail"
+        assert got[10 * k + 2][0] == ""
+
+
+def test_query(spark, sf_dir):
+    out = queries()["op5_line_runs"](spark, sf_dir)
+    assert out.columns == queries()["op5_line_dedup"](spark, sf_dir).columns and out.where("n_deleted > 0").count() > 0

@@ -48,14 +48,22 @@ def test_against_brute_force_over_all_lengths(spark):
 
 def test_runs_that_no_power_of_two_fits(spark):
     three, seven, few = ["a" * 39 + str(i) for i in range(3)], ["b" * 19 + str(i) for i in range(7)], ["w" * 200, *("c" * 29 + str(i) for i in range(3))]
+    words = [f"{i:03d}" for i in range(60)]
     rows = []
-    for k, run in enumerate((three, seven, few)):
+    for k, run in enumerate((three, seven, few, words)):
         rows += [(10 * k, "\n".join(["own", *run, f"end {k}"])), (10 * k + 1, "\n".join([f"{k} starts", *run, "tail"])), (10 * k + 2, "\n".join(run))]
     got = result(spark, rows)
-    for k in range(3):
+    for k in range(4):
         assert got[10 * k][2] == 0
         assert got[10 * k + 1][0] == f"{k} starts\ntail"
         assert got[10 * k + 2][0] == ""
+    assert got[31][2] == got[32][2] == 60
+
+
+def test_long_blank_documents(spark):
+    rows = [(1, "\n" * 30000 + "x" * 120 + "\n" * 30000), (2, "\n" * 100 + "x" * 120 + "\n" * 40000)]
+    got = result(spark, rows)
+    assert got[1][2] == 0 and got[2][2] == 100 + 1 + 30000
 
 
 def test_query(spark, sf_dir):

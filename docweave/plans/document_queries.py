@@ -43,7 +43,7 @@ def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = F.col("p_partkey") - 40 - F.col("p_size")
     parts = _t(spark, sf_dir, "part").where("p_size > 2")
     rows = parts.select(F.col("p_partkey").alias("style"), F.when(up >= 0, up).alias("based_on"))
-    return styles.style_chains(rows, 200).where("ended is not null").select("style", "depth", "ancestor", "ended")
+    return styles.style_chains(rows).where("ended is not null").select("style", "depth", "ancestor", "ended")
 
 
 CHAIN_SQL = """WITH RECURSIVE s AS (SELECT p_partkey AS style, CASE WHEN p_partkey - 40 - p_size >= 0 THEN p_partkey - 40 - p_size END AS based_on FROM part WHERE p_size > 2),

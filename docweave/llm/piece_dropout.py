@@ -3,9 +3,11 @@
 A text is cut into units that no merge can cross: at word marks, and at characters that no
 piece contains. Within a unit, candidates (adjacent symbols whose concatenation is a piece)
 wait in an agenda; the best score, then the leftmost, is taken next. A candidate that a
-keyed hash selects (seed, variant of the document, unit, place and left symbol) is skipped
-for good, so its rivals merge instead. Units are processed together, one merge each a round,
-once for each distinct unit and variant of a block; very long units use a heap.
+keyed hash selects (seed, document, unit and its place there, candidate) is skipped for
+good, so its rivals merge instead: each occurrence of a word is cut on its own. Units are
+processed together, one merge each a round. Each distinct unit of a block is merged once
+without dropout; an occurrence that drops none of the candidates merged then has the same
+pieces, and only the others are merged again. Very long units use a heap.
 
 With ``dropout`` 0 the ids are those of the library. Every segmentation decodes to the text:
 characters without a piece, and a literal word mark, become byte pieces.
@@ -32,7 +34,7 @@ NONE = np.int64(1) << 62
 #: Units of more symbols than this go through the heap.
 LONG_UNIT = 400
 BLOCK_CHARS = 1 << 20
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 
 
 class Pieces:
@@ -85,9 +87,14 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def candidate(start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Number of a candidate within its unit, from its place and its first symbol."""
+    return start.astype(_U) * _U(0x9E3779B97F4A7C15) + end.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + left.astype(_U) * _U(0x165667B19E3779F9)
+
+
 def dropped(unit: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, limit: np.uint64) -> np.ndarray:
     """Whether the keyed hash skips a candidate: ``unit`` holds the unit's key, start and end its place, left its first symbol."""
-    return mix(unit + start.astype(_U) * _U(0x9E3779B97F4A7C15) + end.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + left.astype(_U) * _U(0x165667B19E3779F9)) < limit
+    return mix(unit + candidate(start, end, left)) < limit
 
 
 def agenda(model: Pieces, symbols: list[int], key: np.uint64, limit: np.uint64) -> list[int]:
@@ -128,8 +135,11 @@ def agenda(model: Pieces, symbols: list[int], key: np.uint64, limit: np.uint64)
     return out
 
 
-def merge_units(model: Pieces, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Segment the units bounds[k]:bounds[k + 1] of ``symbols``: all final symbols, and the number of each unit's."""
+def merge_units(model: Pieces, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray, limit: np.uint64, path: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Segment the units bounds[k]:bounds[k + 1] of ``symbols``: all final symbols, and the number of each unit's.
+
+    ``path`` collects unit and candidate of what merges, in units of at most LONG_UNIT symbols.
+    """
     n = len(bounds) - 1
     size = np.diff(bounds)
     results: list[tuple[np.ndarray, np.ndarray]] = []
@@ -166,6 +176,8 @@ def merge_units(model: Pieces, symbols: np.ndarray, bounds: np.ndarray, keys: np
             if not len(sym):
                 break
         at = np.flatnonzero(rank == best)
+        if path is not None:
+            path.append((unit[at], candidate(start[at], end[at + 1], sym[at])))
         sym[at], end[at] = target[at], end[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
@@ -188,8 +200,22 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(first - total + size, size)
 
 
+def _drops(path: list[tuple[np.ndarray, np.ndarray]], n: int, which: np.ndarray, key: np.ndarray, limit: np.uint64) -> np.ndarray:
+    """Whether an occurrence, of the distinct unit ``which`` under its ``key``, drops a candidate on that unit's path."""
+    out = np.zeros(len(which), bool)
+    if not path or not limit:
+        return out
+    unit, step = np.concatenate([x[0] for x in path]), np.concatenate([x[1] for x in path])
+    step = step[np.argsort(unit, kind="stable")]
+    steps = np.bincount(unit, minlength=n)
+    size = steps[which]
+    hit = mix(np.repeat(key, size) + step[_gather((np.cumsum(steps) - steps)[which], size)]) < limit
+    out[np.repeat(np.arange(len(which)), size)[hit]] = True
+    return out
+
+
 def encode_texts(model: Pieces, texts: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts, all in one, and the number of each text's."""
+    """Ids of the texts, all in one, and the number of each text's. ``variants``: the key of each text's dropout."""
     limit = _U(min(2**64 - 1, int(dropout * 2**64)))
     size = np.array([len(t) for t in texts], np.int64)
     lead = (size > 0).astype(np.int64)  # the word mark that a text begins with
@@ -213,20 +239,25 @@ def encode_texts(model: Pieces, texts: list[str], variants: np.ndarray, dropout:
     length = np.diff(unit_bounds)
     doc = np.searchsorted(bounds, first, "right") - 1
     content = mix(Prefix(mix(codes.astype(_U) + _U(7))).of(first, unit_bounds[1:]) + length.astype(_U))
-    key = mix(content + _U(seed % 2**64) + mix(variants[doc].astype(_U) + _U(1)))
-    order = np.unique(key, return_index=True, return_inverse=True)
+    order = np.unique(content, return_index=True, return_inverse=True)
     chosen, which = order[1], order[2]
     same = length == length[chosen][which]
-    if same.all():  # equal keys must mean equal units: compare their characters
+    if same.all():  # equal hashes must mean equal units: compare their characters
         same = np.array_equal(codes, codes[_gather(first[chosen][which], length)])
     else:
         same = False
     if not same:
         chosen, which = np.arange(len(first)), np.arange(len(first))
-    done, count = merge_units(model, sym[_gather(first[chosen], length[chosen])], np.concatenate([[0], np.cumsum(length[chosen])]), key[chosen], limit)
-    at = np.cumsum(count) - count
-    out = done[_gather(at[which], count[which])]
-    counts = np.bincount(doc, weights=count[which], minlength=len(texts)).astype(np.int64)
+    place = (first - bounds[doc]).astype(_U)
+    key = mix(content + _U(seed % 2**64) + mix(mix(variants[doc].astype(_U) + _U(1)) + place))
+    path: list[tuple[np.ndarray, np.ndarray]] = []
+    plain, plain_count = merge_units(model, sym[_gather(first[chosen], length[chosen])], np.concatenate([[0], np.cumsum(length[chosen])]), key[chosen], _U(0), path)
+    again = np.flatnonzero(_drops(path, len(chosen), which, key, limit) | ((length > LONG_UNIT) & (limit > 0)))
+    other, other_count = merge_units(model, sym[_gather(first[again], length[again])], np.concatenate([[0], np.cumsum(length[again])]), key[again], limit)
+    count, begin = plain_count[which], (np.cumsum(plain_count) - plain_count)[which]
+    count[again], begin[again] = other_count, len(plain) + np.cumsum(other_count) - other_count
+    out = np.concatenate([plain, other])[_gather(begin, count)]
+    counts = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
 
     odd = np.flatnonzero((out < 0) | (out >= model.n))  # characters as bytes
     if len(odd):
@@ -258,7 +289,7 @@ def decode_ids(model: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[bytes
     return [raw[a + 1 : b] if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _encode(path: str, dropout: float, seed: int, variants: int):
+def _encode(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
@@ -291,18 +322,18 @@ def _encode(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): variant, n_pieces, piece_ids, ids_crc32, decoded_crc32, lossless.
 
     ``model`` is the path of a merge-type SentencePiece model with byte pieces. A document's
-    variant (0 to variants - 1) is a keyed hash of its id, and equal units of one variant are
-    segmented alike. Null and empty texts have no pieces and are lossless. A null id has
-    variant 0. Repeated rows are encoded row by row. ids_crc32 is over little-endian 32-bit
+    variant is a keyed hash of its id, of its text where the id is null; with the place in the
+    document it keys the dropout of each occurrence of a unit. Null and empty texts have no
+    pieces and are lossless. Repeated rows are encoded row by row. ids_crc32 is over little-endian 32-bit
     ids, decoded_crc32 over the UTF-8 that the ids decode to.
     """
-    variant = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)), F.lit(0)).cast("long")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("variant", variant)
-    return source.mapInArrow(_encode(model, dropout, seed, variants), "doc_id long, variant long, n_pieces long, piece_ids array<int>, ids_crc32 long, decoded_crc32 long, lossless boolean")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = source.withColumn("variant", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed))))
+    return source.mapInArrow(_encode(model, dropout, seed), "doc_id long, variant long, n_pieces long, piece_ids array<int>, ids_crc32 long, decoded_crc32 long, lossless boolean")
 
 
 def _decode(path: str):

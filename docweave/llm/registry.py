@@ -44,36 +44,27 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines_left(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines_left(line_dedup.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def _lines_left(out: DataFrame) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: From the definition: two places with equal lines lie on a diagonal; what follows each other on it is a common run.
 OP5_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, line, content, length(content) AS chars
-  FROM (SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS line, unnest(parts) AS content
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
-), windows AS (
-  SELECT doc_id, line, level, list(content) OVER w AS run, count(*) OVER w AS n, sum(chars) OVER w AS chars
-  FROM lines, (VALUES (0)) AS v(level) WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND CURRENT ROW)
-  {" ".join(f'''UNION ALL SELECT doc_id, line, {k}, list(content) OVER w{k}, count(*) OVER w{k}, sum(chars) OVER w{k}
-  FROM lines WINDOW w{k} AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {2**k - 1} FOLLOWING)''' for k in range(1, line_dedup.LEVELS + 1))}
-), judged AS (
-  SELECT doc_id, line, level, run FROM windows WHERE n = 1 << level AND chars >= {line_dedup.MIN_CHARS}
-  QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY level) = 1
-), later AS (
-  SELECT doc_id, line, 1 << level AS run FROM judged QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, line) > 1
+WITH docs AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, line, content, row_number() OVER (ORDER BY doc_id, line) + dense_rank() OVER (ORDER BY doc_id) AS place
+  FROM (SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS line, unnest(parts) AS content FROM docs)
+), pairs AS (
+  SELECT x.place AS earlier, y.place AS later, length(x.content) AS chars FROM lines x JOIN lines y ON x.content = y.content AND x.place < y.place
+), islands AS (
+  SELECT *, later - row_number() OVER (PARTITION BY later - earlier ORDER BY later) AS island FROM pairs
+), common AS (
+  SELECT later, sum(chars) OVER (PARTITION BY later - earlier, island) AS chars FROM islands
+), gone AS (
+  SELECT DISTINCT later AS place FROM common WHERE chars >= {line_dedup.MIN_CHARS}
 ), marked AS (
-  SELECT l.doc_id, l.line, l.content,
-    coalesce(max(l.line + r.run) OVER (PARTITION BY l.doc_id ORDER BY l.line ROWS UNBOUNDED PRECEDING), 0) > l.line AS gone
-  FROM lines l LEFT JOIN later r ON r.doc_id = l.doc_id AND r.line = l.line
+  SELECT l.*, g.place IS NOT NULL AS gone FROM lines l LEFT JOIN gone g USING (place)
 ), runs AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS begins FROM marked
 ), texts AS (
@@ -82,6 +73,7 @@ WITH lines AS (
   FROM runs GROUP BY doc_id
 )
 SELECT doc_id, n_lines, n_deleted, n_runs, strlen(text) AS kept_bytes, sha256(text) AS kept_sha256 FROM texts
+UNION ALL SELECT doc_id, 0, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
 """
 
 
@@ -117,7 +109,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash": op4_minhash,
         "op5_line_dedup": op5_line_dedup,
-        "op5_line_runs": op5_line_runs,
         "op6_decontamination": op6_decontamination,
         "op7_token_store": op7_token_store,
         "op8_quality_rules": op8_quality_rules,

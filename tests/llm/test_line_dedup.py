@@ -2,56 +2,74 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from docweave.llm.line_dedup import dedup_lines
+from docweave.llm.registry import oracle_sql, queries
 
 
-def brute(rows, min_chars, levels):
-    """rows: (doc_id, text) of distinct ids. Returns doc_id -> (text, n_lines, n_deleted, n_runs)."""
-    first, lines, windows = {}, {d: t.split("\n") for d, t in rows if t is not None}, {}
+def brute(rows, min_chars):
+    """doc_id -> text left: every line of every run, of any length, that holds min_chars and starts earlier as well."""
+    lines = {d: t.split("\n") for d, t in rows}
+    first = {}
     for d in sorted(lines):
         for i in range(len(lines[d])):
-            for k in range(levels + 1):
-                run = lines[d][i : i + 2**k]
-                if len(run) < 2**k:
-                    break
-                if sum(map(len, run)) >= min_chars:
-                    windows[d, i] = 2**k, tuple(run)
-                    first.setdefault(tuple(run), (d, i))
-                    break
+            for j in range(i + 1, len(lines[d]) + 1):
+                first.setdefault(tuple(lines[d][i:j]), (d, i))
     out = {}
-    for d, t in rows:
-        if t is None:
-            out[d] = (None, 0, 0, 0)
-            continue
+    for d, own in lines.items():
         gone = set()
-        for i in range(len(lines[d])):
-            if (d, i) in windows and first[windows[d, i][1]] < (d, i):
-                gone.update(range(i, i + windows[d, i][0]))
-        kept = [x for i, x in enumerate(lines[d]) if i not in gone]
-        out[d] = ("\n".join(kept), len(lines[d]), len(gone), sum(i - 1 not in gone for i in gone))
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(map(len, own[i:j])) >= min_chars and first[tuple(own[i:j])] < (d, i):
+                    gone.update(range(i, j))
+        out[d] = ("\n".join(x for i, x in enumerate(own) if i not in gone), len(own), len(gone), sum(i - 1 not in gone for i in gone))
     return out
 
 
 def result(spark, rows, **more):
-    df = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, gone string, n_runs int").repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     return {r.doc_id: (r.text, r.n_lines, r.n_deleted, r.n_runs) for r in dedup_lines(df, **more).collect()}
 
 
-def test_against_brute_force(spark):
-    rng = random.Random(6)
-    pool = ["", "short", "a line of some length", "é" * 30, "x" * 60, "another line here", " "] + [f"line number {i} of the pool" for i in range(12)]
-    passages = [[rng.choice(pool) + str(k) for _ in range(rng.randrange(1, 9))] for k in range(6)]
+def test_against_brute_force_over_all_lengths(spark):
+    rng = random.Random(8)
+    pool = ["", "", "a", "bc", "short", "a line of some length", "é" * 30, "x" * 60, "y" * 130]
+    passages = [[rng.choice(pool) + rng.choice(["", str(k)]) for _ in range(rng.randrange(1, 14))] for k in range(8)]
     rows = []
-    for i in range(150):
-        lines = [rng.choice(pool) + rng.choice(["", str(i)]) for _ in range(rng.randrange(0, 25))]
+    for i in range(70):
+        lines = [rng.choice(pool) + rng.choice(["", "", str(i)]) for _ in range(rng.randrange(0, 12))]
         for _ in range(rng.randrange(3)):
             at = rng.randrange(len(lines) + 1)
             lines[at:at] = rng.choice(passages)
         rows.append((i, "\n".join(lines)))
-    rows += [(900, rows[5][1]), (901, rows[5][1]), (902, None), (903, ""), (904, "\n\n\n"), (905, "y" * 300 + "\n" + "y" * 300), (906, "z\n" * 3000)]
-    for min_chars in (40, 60, 100):
-        assert result(spark, rows, min_chars=min_chars) == brute(rows, min_chars, 5)
-    assert sum(v[2] > 0 for v in brute(rows, 60, 5).values()) > 30
+    rows += [(900, rows[5][1]), (903, ""), (904, "\n\n\n"), (906, "z\n" * 150)]
+    for min_chars in (1, 40, 100):
+        assert result(spark, rows, min_chars=min_chars) == brute(rows, min_chars)
+
+
+def test_runs_that_no_power_of_two_fits(spark):
+    three, seven, few = ["a" * 39 + str(i) for i in range(3)], ["b" * 19 + str(i) for i in range(7)], ["w" * 200, *("c" * 29 + str(i) for i in range(3))]
+    words = [f"{i:03d}" for i in range(60)]
+    rows = []
+    for k, run in enumerate((three, seven, few, words)):
+        rows += [(10 * k, "\n".join(["own", *run, f"end {k}"])), (10 * k + 1, "\n".join([f"{k} starts", *run, "tail"])), (10 * k + 2, "\n".join(run))]
+    got = result(spark, rows)
+    for k in range(4):
+        assert got[10 * k][2] == 0
+        assert got[10 * k + 1][0] == f"{k} starts\ntail"
+        assert got[10 * k + 2][0] == ""
+    assert got[31][2] == got[32][2] == 60
+
+
+def test_long_blank_documents(spark):
+    rows = [(1, "\n" * 30000 + "x" * 120 + "\n" * 30000), (2, "\n" * 100 + "x" * 120 + "\n" * 40000)]
+    got = result(spark, rows)
+    assert got[1][2] == 0 and got[2][2] == 100 + 1 + 30000
+
+
+def test_no_python_worker(spark, sf_dir):
+    plan = queries()["op5_line_dedup"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan
 
 
 def test_edges(spark):
@@ -61,3 +79,15 @@ def test_edges(spark):
     assert got == [(0, long, 3), (1, "", 1), (1, "", 2), (2, "b", 4)]
     assert dedup_lines(df).columns == ["doc_id", "text", "ta", "n_lines", "n_deleted", "n_runs"]
     assert dedup_lines(df.limit(0)).count() == 0
+    rows = [(1, None, "x", 7), (2, "", "y", 8), (3, "\n\n", "z", 9)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_runs int")
+    assert sorted((r.doc_id, r.text, r.gone, r.n_lines, r.n_deleted, r.n_runs) for r in dedup_lines(clash).collect()) == [(1, None, "x", 0, 0, 0), (2, "", "y", 1, 0, 0), (3, "\n\n", "z", 3, 0, 0)]
+
+
+def test_sql_from_the_definition(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    out = queries()["op5_line_dedup"](spark, sf_dir)
+    want = con.sql(oracle_sql()["op5_line_dedup"])
+    assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert out.where("n_deleted > 0").count() > 0

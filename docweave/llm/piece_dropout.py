@@ -2,12 +2,17 @@
 
 A text is cut into units that no merge can cross: at word marks, and at characters that no
 piece contains. Within a unit, candidates (adjacent symbols whose concatenation is a piece)
-wait in an agenda; the best score, then the leftmost, is taken next. A candidate that a
-keyed hash selects (seed, document, unit and its place there, candidate) is skipped for
-good, so its rivals merge instead: each occurrence of a word is cut on its own. Units are
-processed together, one merge each a round. Each distinct unit of a block is merged once
-without dropout; an occurrence that drops none of the candidates merged then has the same
-pieces, and only the others are merged again. Very long units use a heap.
+wait in an agenda; the best score, then the leftmost, is taken next. Each candidate taken is
+skipped for good with probability ``dropout``, so its rivals merge instead. Which are skipped
+follows from a keyed hash (seed, document, unit and its place there): it gives the number of
+candidates taken before the first skip, then between one skip and the next, each of them
+geometric, which is the same as an independent draw for each candidate. So each occurrence of
+a word is cut on its own, while the hash is drawn once for each skip.
+
+Units are processed together, one candidate each a round. Each distinct unit of a block is
+merged once without skips; an occurrence whose first skip would come later has the same
+pieces. Of the others, those of equal unit and equal skips are merged once. Very long units
+use a heap.
 
 With ``dropout`` 0 the ids are those of the library. Every segmentation decodes to the text:
 characters without a piece, and a literal word mark, become byte pieces.
@@ -19,6 +24,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,8 @@ NONE = np.int64(1) << 62
 #: Units of more symbols than this go through the heap.
 LONG_UNIT = 400
 BLOCK_CHARS = 1 << 20
+#: Units whose plain pieces a worker remembers, about.
+CACHE_UNITS = 200_000
 DROPOUT, SEED = 0.1, 17
 
 
@@ -65,6 +73,15 @@ class Pieces:
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.ranks = np.array([rank[-model.get_score(i)] for i in self.merged.tolist()], np.int64)
+        self.shift = _U(64 - max(4, (4 * len(self.keys)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        waiting = np.arange(len(self.keys))
+        at = self._slot(self.keys)
+        while len(waiting):  # open addressing: who finds its slot taken tries the next one
+            empty = self.slots[at] < 0
+            self.slots[at[empty]] = waiting[empty]
+            on = self.slots[at] != waiting
+            waiting, at = waiting[on], (at[on] + 1) % len(self.slots)
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         raw = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].replace(chr(MARK), " ").encode() if normal[i] else b"" for i in range(n)]
         self.sizes = np.array([len(x) for x in raw], np.int64)
@@ -73,13 +90,50 @@ class Pieces:
         #: Extended symbols (and normal ones) as UTF-8, for symbols that never merged into a piece.
         self.extended = {i: c for c, i in symbols.items() if i >= n}
         self.n = n
+        self.plain = Plain()
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged piece and rank of adjacent symbols; rank -1 where they make no piece."""
         key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return self.merged[at], np.where(there, self.ranks[at], -1)
+        at = self._slot(key)
+        found = self.slots[at]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != key))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slots)
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != key[open_])]
+        there = (found >= 0) & (left >= 0) & (right >= 0)
+        return self.merged[found], np.where(there, self.ranks[found], -1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(_U) * _U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+
+class Plain:
+    """What units become without skips, as far as this worker has met them: code points and pieces by the hash of the code points."""
+
+    def __init__(self):
+        self.slot: dict[int, int] = {}
+        self.codes, self.code_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.pieces, self.piece_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def find(self, content: np.ndarray, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The slot of each unit, given hash and code points; -1 where it is new. Equal hashes of different units: all are new."""
+        at = np.fromiter(map(self.slot.get, content.tolist(), repeat(-1)), np.int64, len(content))
+        known = np.flatnonzero(at >= 0)
+        size = np.diff(self.code_ends)[at[known]]
+        if not np.array_equal(size, length[known]) or not np.array_equal(self.codes[_gather(self.code_ends[at[known]], size)], codes[_gather((np.cumsum(length) - length)[known], size)]):
+            self.__init__()
+            return np.full(len(content), -1)
+        return at
+
+    def add(self, content: np.ndarray, codes: np.ndarray, length: np.ndarray, pieces: np.ndarray, count: np.ndarray) -> None:
+        if len(self.slot) > CACHE_UNITS:
+            self.__init__()
+        self.slot.update(zip(content.tolist(), range(len(self.slot), len(self.slot) + len(content)), strict=True))
+        self.codes, self.pieces = np.concatenate([self.codes, codes]), np.concatenate([self.pieces, pieces])
+        self.code_ends = np.concatenate([self.code_ends, self.code_ends[-1] + np.cumsum(length)])
+        self.piece_ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(count)])
 
 
 @cache
@@ -87,17 +141,25 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def candidate(start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Number of a candidate within its unit, from its place and its first symbol."""
-    return start.astype(_U) * _U(0x9E3779B97F4A7C15) + end.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + left.astype(_U) * _U(0x165667B19E3779F9)
+def gaps(keys: np.ndarray, draw: int, dropout: float) -> np.ndarray:
+    """How many candidates each key takes before its skip number ``draw``, counted from the skip before."""
+    u = ((mix(keys + _U(draw * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.log(u) / np.log1p(-min(dropout, 1.0)), 2.0**40).astype(np.int64)
 
 
-def dropped(unit: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, limit: np.uint64) -> np.ndarray:
-    """Whether the keyed hash skips a candidate: ``unit`` holds the unit's key, start and end its place, left its first symbol."""
-    return mix(unit + candidate(start, end, left)) < limit
+def skips(keys: np.ndarray, most: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """Key number and turn of every skip before turn ``most`` of each key, by key number within a draw."""
+    at, owner, out, draw = gaps(keys, 0, dropout), np.arange(len(keys)), [], 0
+    while len(owner := owner[on := at < most[owner]]):
+        at = at[on]
+        out.append((owner, at))
+        draw += 1
+        at = at + 1 + gaps(keys[owner], draw, dropout)
+    return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def agenda(model: Pieces, symbols: list[int], key: np.uint64, limit: np.uint64) -> list[int]:
+def agenda(model: Pieces, symbols: list[int], key: np.uint64, dropout: float) -> list[int]:
     """One unit by a heap: candidates by rank, then place."""
     n = len(symbols)
     sym, start, end = list(symbols), list(range(n)), list(range(1, n + 1))
@@ -110,18 +172,24 @@ def agenda(model: Pieces, symbols: list[int], key: np.uint64, limit: np.uint64)
             return
         left, right = np.array([sym[i] for i in at]), np.array([sym[after[i]] for i in at])
         merged, rank = model.pair(left, right)
-        skip = dropped(np.full(len(at), key, _U), np.array([start[i] for i in at]), np.array([end[after[i]] for i in at]), left, limit)
-        for i, m, r, s in zip(at, merged.tolist(), rank.tolist(), skip.tolist(), strict=True):
-            if r >= 0 and not s:
+        for i, m, r in zip(at, merged.tolist(), rank.tolist(), strict=True):
+            if r >= 0:
                 heapq.heappush(heap, (r, start[i], end[after[i]], sym[i], m))
 
     place = {start[i]: i for i in range(n)}
     offer(list(range(n)))
+    own = np.array([key], _U)
+    turn, draw, skip = -1, 0, int(gaps(own, 0, dropout)[0]) if dropout > 0 else -1
     while heap:
         _, a, b, first, merged = heapq.heappop(heap)
         i = place.get(a, -1)
         if i < 0 or sym[i] != first or after[i] < 0 or end[after[i]] != b:
             continue
+        turn += 1
+        if turn == skip:
+            draw += 1
+            skip = turn + 1 + int(gaps(own, draw, dropout)[0])
+            continue
         j = after[i]
         sym[i], end[i], after[i] = merged, end[j], after[j]
         del place[start[j]]
@@ -135,29 +203,31 @@ def agenda(model: Pieces, symbols: list[int], key: np.uint64, limit: np.uint64)
     return out
 
 
-def merge_units(model: Pieces, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray, limit: np.uint64, path: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def merge_units(model: Pieces, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float, skipped: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Segment the units bounds[k]:bounds[k + 1] of ``symbols``: all final symbols, and the number of each unit's.
 
-    ``path`` collects unit and candidate of what merges, in units of at most LONG_UNIT symbols.
+    ``skipped`` holds unit and turn of what is skipped in units of at most LONG_UNIT symbols; longer ones draw from their key.
     """
+    who, turns = skipped or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    by = np.argsort(turns, kind="stable")
+    who, turns, turn = who[by], turns[by], 0
+    skip = np.zeros(len(bounds) - 1, bool)
     n = len(bounds) - 1
     size = np.diff(bounds)
     results: list[tuple[np.ndarray, np.ndarray]] = []
     for k in np.flatnonzero(size > LONG_UNIT).tolist():
-        done = agenda(model, symbols[bounds[k] : bounds[k + 1]].tolist(), keys[k], limit)
+        done = agenda(model, symbols[bounds[k] : bounds[k + 1]].tolist(), keys[k], dropout)
         results.append((np.full(len(done), k), np.array(done, np.int64)))
     live = size <= LONG_UNIT
     unit = np.repeat(np.arange(n), size)
     keep = live[unit]
     unit, sym = unit[keep], symbols[keep]
     start = (np.arange(len(symbols)) - np.repeat(bounds[:-1], size))[keep]
-    end = start + 1
 
     def judge(at: np.ndarray) -> None:
         right = np.minimum(at + 1, len(sym) - 1)
         merged, r = model.pair(sym[at], sym[right])
         good = (r >= 0) & (right > at) & (unit[at] == unit[right])
-        good[good] = ~dropped(keys[unit[at][good]], start[at][good], end[right][good], sym[at][good], limit)
         target[at] = merged
         rank[at] = np.where(good, r * 512 + start[at], NONE)
 
@@ -172,17 +242,25 @@ def merge_units(model: Pieces, symbols: np.ndarray, bounds: np.ndarray, keys: np
         if over.any():
             results.append((unit[over], sym[over]))
             on = ~over
-            unit, sym, start, end, target, rank, best = unit[on], sym[on], start[on], end[on], target[on], rank[on], best[on]
+            unit, sym, start, target, rank, best = unit[on], sym[on], start[on], target[on], rank[on], best[on]
             if not len(sym):
                 break
         at = np.flatnonzero(rank == best)
-        if path is not None:
-            path.append((unit[at], candidate(start[at], end[at + 1], sym[at])))
-        sym[at], end[at] = target[at], end[at + 1]
+        low, high = np.searchsorted(turns, (turn, turn + 1))
+        turn += 1
+        if low < high:
+            skip[who[low:high]] = True
+            gone = skip[unit[at]]
+            rank[at[gone]] = NONE
+            at = at[~gone]
+            skip[who[low:high]] = False
+            if not len(at):
+                continue
+        sym[at] = target[at]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         moved = np.cumsum(keep)[at] - 1
-        unit, sym, start, end, target, rank = unit[keep], sym[keep], start[keep], end[keep], target[keep], rank[keep]
+        unit, sym, start, target, rank = unit[keep], sym[keep], start[keep], target[keep], rank[keep]
         judge(moved)
         left = moved - 1
         left = left[(left >= 0) & (unit[np.maximum(left, 0)] == unit[moved])]
@@ -200,23 +278,24 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(first - total + size, size)
 
 
-def _drops(path: list[tuple[np.ndarray, np.ndarray]], n: int, which: np.ndarray, key: np.ndarray, limit: np.uint64) -> np.ndarray:
-    """Whether an occurrence, of the distinct unit ``which`` under its ``key``, drops a candidate on that unit's path."""
-    out = np.zeros(len(which), bool)
-    if not path or not limit:
-        return out
-    unit, step = np.concatenate([x[0] for x in path]), np.concatenate([x[1] for x in path])
-    step = step[np.argsort(unit, kind="stable")]
-    steps = np.bincount(unit, minlength=n)
-    size = steps[which]
-    hit = mix(np.repeat(key, size) + step[_gather((np.cumsum(steps) - steps)[which], size)]) < limit
-    out[np.repeat(np.arange(len(which)), size)[hit]] = True
-    return out
+def _plain(model: Pieces, content: np.ndarray, codes: np.ndarray, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of distinct units without skips: those met before are looked up."""
+    known = model.plain
+    at = known.find(content, codes, length)
+    new = np.flatnonzero(at < 0)
+    picked = _gather((np.cumsum(length) - length)[new], length[new])
+    fresh, fresh_count = merge_units(model, symbols[picked], np.concatenate([[0], np.cumsum(length[new])]), content[new], 0.0)
+    count = np.diff(known.piece_ends)[at] if len(known.slot) else np.zeros(len(at), np.int64)
+    begin = known.piece_ends[at]
+    count[new], begin[new] = fresh_count, len(known.pieces) + np.cumsum(fresh_count) - fresh_count
+    out = np.concatenate([known.pieces, fresh])[_gather(begin, count)]
+    if len(np.unique(content[new])) == len(new):
+        known.add(content[new], codes[picked], length[new], fresh, fresh_count)
+    return out, count
 
 
 def encode_texts(model: Pieces, texts: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, all in one, and the number of each text's. ``variants``: the key of each text's dropout."""
-    limit = _U(min(2**64 - 1, int(dropout * 2**64)))
     size = np.array([len(t) for t in texts], np.int64)
     lead = (size > 0).astype(np.int64)  # the word mark that a text begins with
     codes = np.zeros(int((size + lead).sum()), np.int64)
@@ -250,12 +329,31 @@ def encode_texts(model: Pieces, texts: list[str], variants: np.ndarray, dropout:
         chosen, which = np.arange(len(first)), np.arange(len(first))
     place = (first - bounds[doc]).astype(_U)
     key = mix(content + _U(seed % 2**64) + mix(mix(variants[doc].astype(_U) + _U(1)) + place))
-    path: list[tuple[np.ndarray, np.ndarray]] = []
-    plain, plain_count = merge_units(model, sym[_gather(first[chosen], length[chosen])], np.concatenate([[0], np.cumsum(length[chosen])]), key[chosen], _U(0), path)
-    again = np.flatnonzero(_drops(path, len(chosen), which, key, limit) | ((length > LONG_UNIT) & (limit > 0)))
-    other, other_count = merge_units(model, sym[_gather(first[again], length[again])], np.concatenate([[0], np.cumsum(length[again])]), key[again], limit)
+    plain, plain_count = _plain(model, content[chosen], codes[_gather(first[chosen], length[chosen])], sym[_gather(first[chosen], length[chosen])], length[chosen])
+    other, other_count, again, form = plain[:0], plain_count[:0], which[:0], which[:0]
+    if dropout > 0:
+        # A unit without skips takes as many candidates as it loses symbols.
+        again = np.flatnonzero((gaps(key, 0, dropout) < (length[chosen] - plain_count)[which]) | (length > LONG_UNIT))
+        size = length[again]
+        # A merge offers two candidates at most, and a candidate is taken once.
+        owner, turn = skips(key[again], np.where(size > LONG_UNIT, 0, 3 * (size - 1)), dropout)
+        mask = np.zeros(len(again), _U)
+        small = turn < 63
+        np.bitwise_or.at(mask, owner[small], _U(1) << turn[small].astype(_U))
+        alone = (3 * (size - 1) > 63) | (size > LONG_UNIT)  # skips that the mask does not hold: no other is equal
+        same = np.lexsort((np.where(alone, np.arange(len(again)), -1), mask, which[again]))
+        new = np.ones(len(again), bool)
+        new[1:] = (which[again][same][1:] != which[again][same][:-1]) | (mask[same][1:] != mask[same][:-1]) | alone[same][1:] | alone[same][:-1]
+        form = np.zeros(len(again), np.int64)
+        form[same] = np.cumsum(new) - 1
+        lead = same[new]
+        number = np.full(len(again), -1)
+        number[lead] = np.arange(len(lead))
+        led = number[owner] >= 0
+        at = again[lead]
+        other, other_count = merge_units(model, sym[_gather(first[at], length[at])], np.concatenate([[0], np.cumsum(length[at])]), key[at], dropout, (number[owner[led]], turn[led]))
     count, begin = plain_count[which], (np.cumsum(plain_count) - plain_count)[which]
-    count[again], begin[again] = other_count, len(plain) + np.cumsum(other_count) - other_count
+    count[again], begin[again] = other_count[form], (len(plain) + np.cumsum(other_count) - other_count)[form]
     out = np.concatenate([plain, other])[_gather(begin, count)]
     counts = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
 

@@ -3,19 +3,23 @@
 Layout under one folder on shared storage (all Parquet):
 
 * ``objects/kind=chunk``: hash (SHA-256 of the packed ids), n, packed (little-endian ids of ``id_bytes`` bytes each);
-* ``recipes``: one row per document in ascending doc_id order (``part`` numbers the files): n_tokens, the chunk hashes in order, the Merkle root over them;
-* ``manifests``: one row per part: documents, ids, and the Merkle root over the documents' roots.
+* ``recipes``: one row per document in ascending doc_id order (``part`` numbers the files, ``place`` the rows of one): n_tokens, the chunk hashes in order, the Merkle root over them;
+* ``manifests``: one row per part: documents, ids, and the Merkle root over the documents' roots;
+* ``top``: one row: parts, documents, ids, and the Merkle root over the parts' roots.
 
 Chunks end where a rolling sum of hashes of the last 16 ids has its high bits zero after mixing, so equal passages
 give equal chunks wherever they start. A task drops chunks it has already sent, then one
 shuffle on the hash brings equal chunks together, so a chunk that all documents share costs
-one row per task. Reading verifies every chunk hash and every Merkle root; a document's CRC
-is combined from the CRCs of its chunks, so ids are not shuffled again.
+one row per task; recipes are dealt evenly, whatever their root or id. Reading compares the
+recipes with the manifests and these with the top row, in both directions, and verifies every
+chunk hash and every Merkle root; anything lost or altered raises. A document's CRC is
+combined from the CRCs of its chunks, so ids are not shuffled again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -59,19 +63,43 @@ def split_marks(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(out))
 
 
+#: The pre-tokenizer's pattern under which words can be encoded one by one (fixed value: that of the tokenizer file).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def joins_no_words(path: str) -> bool:
+    """Whether a tokenizer file ignores case, drops white space and never joins letters with punctuation, so that words can be encoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    steps = lambda x, k: [] if not x else x[k] if x["type"] == "Sequence" else [x]
+    normal = [(x["type"], x.get("pattern"), x.get("content")) for x in steps(parts["normalizer"], "normalizers")]
+    before = steps(parts["pre_tokenizer"], "pretokenizers")
+    split = [x for x in before if x["type"] == "Split"]
+    rest = [x for x in before if x["type"] != "Split"]
+    return (
+        normal == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        and [(x["pattern"], x["behavior"], x["invert"]) for x in split] == [({"Regex": WORD_PATTERN}, "Removed", True)]
+        and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+        and not parts["post_processor"]
+        and not any(parts["model"].get(k) for k in ("dropout", "continuing_subword_prefix"))
+        and parts["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
 class WordEncoder:
     """Ids of texts through a ``tokenizers`` file.
 
     ``by_word`` is for tokenizers that ignore case, drop white space and never join letters
-    with punctuation: the text is then cut at white space and where ASCII letters and
+    with punctuation (None: as the file says): the text is then cut at white space and where ASCII letters and
     punctuation meet, and each piece is encoded once and remembered, which gives the ids of
     the whole text. Texts that may hold a special token are encoded whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, by_word: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        by_word = joins_no_words(path) if by_word is None else by_word
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -149,18 +177,39 @@ class WordEncoder:
 
 
 @cache
-def encoder(path: str, by_word: bool) -> WordEncoder:
+def encoder(path: str, by_word: bool | None) -> WordEncoder:
     return WordEncoder(path, by_word)
 
 
+class Tree:
+    """A binary SHA-256 tree over leaves that come one by one: inner nodes are marked, a last odd node moves up. Holds one node a level."""
+
+    def __init__(self):
+        self.levels: list[bytes | None] = []
+
+    def add(self, leaf: bytes) -> None:
+        node = hashlib.sha256(b"\0" + leaf).digest()
+        for k, left in enumerate(self.levels):
+            if left is None:
+                self.levels[k] = node
+                return
+            self.levels[k], node = None, hashlib.sha256(b"\1" + left + node).digest()
+        self.levels.append(node)
+
+    def root(self) -> bytes:
+        """Of no leaves: the hash of nothing."""
+        out = None
+        for node in self.levels:
+            if node is not None:
+                out = node if out is None else hashlib.sha256(b"\1" + node + out).digest()
+        return hashlib.sha256(b"").digest() if out is None else out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary SHA-256 tree; inner nodes are marked, a last odd node moves up. Of no leaves: the hash of nothing."""
-    if not leaves:
-        return hashlib.sha256(b"").digest()
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Tree()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 @cache
@@ -193,15 +242,17 @@ def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     return out
 
 
-_OBJECTS = "kind string, route binary, doc_id long, n long, hashes array<binary>, packed binary"
-_FIELDS = pa.schema([("kind", pa.string()), ("route", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.binary())), ("packed", pa.binary())])
+_OBJECTS = "kind string, route binary, deal int, doc_id long, n long, hashes array<binary>, packed binary"
+_FIELDS = pa.schema([("kind", pa.string()), ("route", pa.binary()), ("deal", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.binary())), ("packed", pa.binary())])
 
 
-def _encode(path: str, by_word: bool, end_id: int, id_bytes: int):
+def _encode(path: str, by_word: bool | None, end_id: int, id_bytes: int):
     kind = np.dtype(f"<u{id_bytes}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sent = encoder(path, by_word), set()
+        tokens, sent, dealt = encoder(path, by_word), set(), 0
+        if max(len(tokens.ends) - 1, end_id + 1) > 1 << 8 * id_bytes:
+            raise ValueError(f"ids of {path} do not fit in {id_bytes} bytes")
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -224,10 +275,11 @@ def _encode(path: str, by_word: bool, end_id: int, id_bytes: int):
                             if len(sent) > 1_000_000:
                                 sent.clear()
                             sent.add(digest)
-                            for name, value in zip(rows, ("chunk", digest, None, end - at, None, part), strict=True):
+                            for name, value in zip(rows, ("chunk", digest, int.from_bytes(digest[:4], "little", signed=True), None, end - at, None, part), strict=True):
                                 rows[name].append(value)
                         at = end
-                    for name, value in zip(rows, ("recipe", merkle(hashes), doc_id, stop - begin, hashes, None), strict=True):
+                    dealt += 1
+                    for name, value in zip(rows, ("recipe", merkle(hashes), dealt, doc_id, stop - begin, hashes, None), strict=True):
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, schema=_FIELDS)
                 first = last
@@ -247,31 +299,60 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, list] = {}
+_TOTALS = "part int, n_docs long, n_tokens long, root binary"
+_COUNTED = f"{_TOTALS}, leaves long"
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, n_docs, n_tokens, root), in order, to one row a part, with the number of its rows."""
+    done: list[tuple] = []
+    part, docs, tokens, leaves, tree = None, 0, 0, 0, Tree()
     for batch in batches:
-        for part, n, root in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            own = parts.setdefault(part, [0, 0, []])
-            own[0] += 1
-            own[1] += n
-            own[2].append(root)
-    yield pa.RecordBatch.from_pydict({"part": list(parts), "n_docs": [p[0] for p in parts.values()], "n_tokens": [p[1] for p in parts.values()], "root": [merkle(p[2]) for p in parts.values()]}, schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
+        for own, d, n, root in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if own != part:
+                if part is not None:
+                    done.append((part, docs, tokens, tree.root(), leaves))
+                part, docs, tokens, leaves, tree = own, 0, 0, 0, Tree()
+            docs, tokens, leaves = docs + d, tokens + n, leaves + 1
+            tree.add(root)
+    if part is not None:
+        done.append((part, docs, tokens, tree.root(), leaves))
+    kinds = {"part": pa.int32(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary(), "leaves": pa.int64()}
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(kinds.values())], list(kinds))
+
 
+def _part_totals(recipes: DataFrame) -> DataFrame:
+    """What the manifests hold, from the recipes; a part is a file of bounded size."""
+    rows = recipes.select("part", F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root", "place")
+    return rows.repartition("part").sortWithinPartitions("part", "place").drop("place").mapInArrow(_totals, _COUNTED).drop("leaves")
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_bytes: int = 2, by_word: bool = True) -> None:
+
+def _top_totals(manifests: DataFrame) -> DataFrame:
+    """The top row, from the manifests: a row for each file, one after the other."""
+    rows = manifests.withColumn("all", F.lit(0)).repartitionByRange(1, "part").sortWithinPartitions("part")
+    found = rows.select("all", "n_docs", "n_tokens", "root").mapInArrow(_totals, _COUNTED)
+    return found.select(F.col("leaves").alias("n_parts"), "n_docs", "n_tokens", "root")
+
+
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_bytes: int = 2, by_word: bool | None = None) -> None:
     """Encode every whole text of ``docs`` (doc_id, text; null: empty) and write the store to ``folder``.
 
-    ``id_bytes`` must hold every id of the tokenizer (2 for vocabularies up to 65,536, else 4).
+    ``id_bytes`` must hold every id of the tokenizer (2 for vocabularies up to 65,536, else 4); otherwise it raises.
     An empty text is the end id alone. Repeated rows of one id are documents of their own, in
     the order of their roots; null ids come first. No rows: a store without rows.
     """
     spark = docs.sparkSession
     objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_encode(tokenizer, by_word, end_id, id_bytes)), _OBJECTS)
-    placed = objects.repartition("route").mapInArrow(tidied(_once), _OBJECTS)
+    placed = objects.repartition("deal").mapInArrow(tidied(_once), _OBJECTS).drop("deal")
     placed.write.partitionBy("kind").option("compression", "lz4").parquet(f"{folder}/objects")
-    _recipes(spark, folder).repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/recipes")
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    recipes.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "root").select("part", "n_tokens", "root").mapInArrow(_manifest, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifests")
+    # Equal rows are told apart by where they were read, so that many of them still fill several parts.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("tie")]
+    recipes = _objects(spark, folder).where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "hashes", F.col("route").alias("root"), F.monotonically_increasing_id().alias("tie"))
+    numbered = recipes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    numbered = numbered.withColumns({"part": F.shiftright("row", 33).cast("int"), "place": F.expr("row & ((1L << 33) - 1)")}).drop("row", "tie")
+    numbered.write.parquet(f"{folder}/recipes")
+    _part_totals(_recipes(spark, folder)).write.parquet(f"{folder}/manifests")
+    _top_totals(_manifests(spark, folder)).write.parquet(f"{folder}/top")
 
 
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -279,7 +360,33 @@ def _objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return _objects(spark, folder).where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "hashes", F.col("route").alias("root"))
+    return spark.read.schema("doc_id long, n_tokens long, hashes array<binary>, root binary, part int, place long").parquet(f"{folder}/recipes")
+
+
+def _manifests(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_TOTALS).parquet(f"{folder}/manifests")
+
+
+def verify_store(spark: SparkSession, folder: str) -> None:
+    """Raise where recipes, manifests and the top row do not agree, or one is lost."""
+
+    def same(x: DataFrame, y: DataFrame, keys: list[str], what: str) -> None:
+        other = y.select(*(F.col(c).alias(f"_{c}") for c in y.columns))
+        meet = F.lit(True)
+        for k in keys:
+            meet = meet & (F.col(k) == F.col(f"_{k}"))
+        differ = F.lit(False)
+        for c in x.columns:
+            differ = differ | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+        found = x.join(other, meet, "full").where(differ).limit(1).collect()
+        if found:
+            raise ValueError(f"{what} are damaged: {found[0].asDict()}")
+
+    top = spark.read.schema("n_parts long, n_docs long, n_tokens long, root binary").parquet(f"{folder}/top")
+    if not top.limit(1).count() and not _recipes(spark, folder).limit(1).count() and not _manifests(spark, folder).limit(1).count():
+        return  # a store without rows
+    same(_part_totals(_recipes(spark, folder)), _manifests(spark, folder), ["part"], "recipes")
+    same(_top_totals(_manifests(spark, folder)), top, ["root"], "manifests")
 
 
 _POLYNOMIAL = 0xEDB88320
@@ -341,44 +448,54 @@ def _check_chunks(id_bytes: int):
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         totals, crcs = [], []
-        for root, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for root, n, chunks in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True):
             chunks = sorted(chunks, key=lambda c: c["pos"])
-            if merkle([c["hash"] for c in chunks]) != root:
+            if any(c["crc"] is None for c in chunks):
+                raise ValueError(f"a chunk of the document of root {root.hex()} is damaged: it is missing")
+            if n != sum(c["chunk_n"] for c in chunks) or merkle([c["hash"] for c in chunks]) != root:
                 raise ValueError(f"document of root {root.hex()} is damaged")
             crc = 0
             for c in chunks:
                 crc = crc_join(crc, c["crc"], 4 * c["chunk_n"])
             totals.append(sum(c["chunk_n"] for c in chunks))
             crcs.append(crc)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64())], ["row", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; damaged chunks or recipes raise."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "row").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = recipes.withColumn("row", F.monotonically_increasing_id())
-    starts = numbered.select("row", "part", "doc_id", "root", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(before, "part").select("row", (F.col("before") + F.col("inside")).alias("start"))
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; lost or damaged chunks, recipes or manifests raise."""
+    verify_store(spark, folder)
+    recipes = _recipes(spark, folder)
+    before = _manifests(spark, folder).select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
+    order = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = recipes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(before, "part")
+    steps = starts.select("part", "place", "doc_id", "n_tokens", "root", (F.col("before") + F.col("inside")).alias("start"), F.posexplode("hashes").alias("pos", "hash"))
     chunks = _objects(spark, folder).where("kind = 'chunk'").select(F.col("route").alias("hash"), "packed").mapInArrow(tidied(_check_chunks(id_bytes)), "hash binary, chunk_n long, crc long")
-    steps = numbered.select("row", "doc_id", "root", F.posexplode("hashes").alias("pos", "hash")).join(chunks, "hash")
-    whole = steps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.collect_list(F.struct("pos", "hash", "chunk_n", "crc")).alias("chunks"))
-    read = whole.mapInArrow(tidied(_assemble), "row long, doc_id long, n_tokens long, ids_crc32 long")
-    return read.join(starts, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
+    whole = _assembled(steps.join(chunks, "hash", "left"), ["root", "n_tokens", "start"], F.struct("pos", "hash", "chunk_n", "crc"))
+    return whole.mapInArrow(tidied(_assemble), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _assembled(steps: DataFrame, facts: list[str], chunk) -> DataFrame:
+    """doc_id, facts and the chunks of every document."""
+    whole = steps.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in facts), F.collect_list(chunk).alias("chunks"))
+    return whole.select("doc_id", *facts, "chunks")
 
 
 def documents(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
-    """doc_id and ids (array of int) of every document of the store."""
+    """doc_id and ids (array of int) of every document of the store; what is lost or damaged raises."""
+    verify_store(spark, folder)
     chunks = _objects(spark, folder).where("kind = 'chunk'").select(F.col("route").alias("hash"), "packed")
-    numbered = spark.read.parquet(f"{folder}/recipes").withColumn("row", F.monotonically_increasing_id())
-    steps = numbered.select("row", "doc_id", F.posexplode("hashes").alias("pos", "hash")).join(chunks, "hash")
+    steps = _recipes(spark, folder).select("part", "place", "doc_id", "n_tokens", "root", F.posexplode("hashes").alias("pos", "hash")).join(chunks, "hash", "left")
     kind = np.dtype(f"<u{id_bytes}")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(c["packed"] for c in sorted(x, key=lambda c: c["pos"])), kind).astype(np.int32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    whole = steps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "packed")).alias("chunks"))
-    return whole.select("doc_id", "chunks").mapInArrow(join, "doc_id long, ids array<int>")
+            out = []
+            for root, n, parts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                packed = [c["packed"] for c in sorted(parts, key=lambda c: c["pos"])]
+                if None in packed or merkle([hashlib.sha256(x).digest() for x in packed]) != root or n != sum(map(len, packed)) // id_bytes:
+                    raise ValueError(f"document of root {root.hex()} is damaged")
+                out.append(np.frombuffer(b"".join(packed), kind).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return _assembled(steps, ["root", "n_tokens"], F.struct("pos", "packed")).mapInArrow(join, "doc_id long, ids array<int>")

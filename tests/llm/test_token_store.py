@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -7,6 +9,7 @@ import public_tokenizers
 import pytest
 from docweave.llm import token_store as ts
 from docweave.llm.common import scratch_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -65,7 +68,8 @@ def test_damage_is_found(spark):
     bad = objects.selectExpr("route", "doc_id", "n", "hashes", "case when packed is not null then cast('xx' as binary) end as packed", "kind").collect()
     other = scratch_path(spark, "test-store")
     spark.createDataFrame(bad, objects.selectExpr("route", "doc_id", "n", "hashes", "packed", "kind").schema).write.partitionBy("kind").parquet(f"{other}/objects")
-    spark.read.parquet(f"{folder}/recipes").write.parquet(f"{other}/recipes")
+    for name in ("recipes", "manifests", "top"):
+        spark.read.parquet(f"{folder}/{name}").write.parquet(f"{other}/{name}")
     with pytest.raises(Exception, match="damaged"):
         ts.read_store(spark, other).collect()
 
@@ -79,3 +83,71 @@ def test_crc_join():
 
 def test_merkle_depends_on_order_and_content():
     assert len({ts.merkle(x) for x in ([], [b"a"], [b"a", b"b"], [b"b", b"a"], [b"a", b"b", b"c"])}) == 5
+
+
+def test_lost_files_are_found(spark):
+    rows = [(i, f"document {i} with words of its own") for i in range(30)]
+    folder = scratch_path(spark, "test-store")
+    ts.write_store(spark.createDataFrame(rows, "doc_id long, text string"), folder, PATH)
+    names = {"objects": ["kind"], "recipes": [], "manifests": [], "top": []}
+
+    def copy(change):
+        other = scratch_path(spark, "test-store")
+        for name, by in names.items():
+            change(name, spark.read.parquet(f"{folder}/{name}")).write.partitionBy(*by).parquet(f"{other}/{name}")
+        return other
+
+    whole = copy(lambda name, df: df)
+    assert ts.read_store(spark, whole).count() == 30 and ts.documents(spark, whole).count() == 30
+    chunk = spark.read.parquet(f"{folder}/objects").where("kind = 'chunk'").first().route
+    part = spark.read.parquet(f"{folder}/manifests").first().part
+    losses = [
+        lambda name, df: df.where(F.col("route") != F.lit(chunk)) if name == "objects" else df,
+        lambda name, df: df.where("doc_id <> 7") if name == "recipes" else df,
+        lambda name, df: df.where("part < 0") if name == "manifests" else df,
+        lambda name, df: df.where("n_docs < 0") if name == "top" else df,
+        lambda name, df: df.where(f"part <> {part}") if name in ("recipes", "manifests") else df,
+        lambda name, df: df.withColumn("place", 100 - F.col("place")) if name == "recipes" else df,
+        lambda name, df: df.withColumn("n_tokens", F.col("n_tokens") + 1) if name == "recipes" else df,
+    ]
+    for loss in losses:
+        other = copy(loss)
+        for read in (ts.read_store, ts.documents):
+            with pytest.raises(Exception, match="damaged"):
+                read(spark, other).collect()
+
+
+def test_equal_documents_are_dealt_evenly(spark):
+    df = spark.createDataFrame([(None, "")] * 2000 + [(5, "the same words")] * 2000, "doc_id long, text string").repartition(8)
+    objects = df.mapInArrow(ts._encode(PATH, None, 2, 2), ts._OBJECTS).where("kind = 'recipe'").repartition(16, "deal")
+    sizes = [r[1] for r in objects.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / 16
+    folder = scratch_path(spark, "test-store")
+    ts.write_store(df, folder, PATH)
+    assert ts.read_store(spark, folder).agg(F.countDistinct("start"), F.sum("n_tokens")).first()[0] == 4000
+
+
+def test_words_one_by_one_only_where_the_file_allows_it(tmp_path):
+    assert ts.joins_no_words(PATH)
+    parts = json.load(open(PATH))
+    for name, change in (("normalizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})):
+        other = tmp_path / f"{name}.json"
+        other.write_text(json.dumps(parts | {name: change}))
+        assert not ts.joins_no_words(str(other))
+
+
+def test_ids_must_fit(spark):
+    with pytest.raises(Exception, match="do not fit"):
+        ts.write_store(spark.createDataFrame([(1, "a")], "doc_id long, text string"), scratch_path(spark, "test-store"), PATH, end_id=1 << 17)
+
+
+def test_merkle_as_by_levels():
+    def levels(leaves):
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    for n in range(1, 40):
+        leaves = [bytes([k]) for k in range(n)]
+        assert ts.merkle(leaves) == levels(leaves)

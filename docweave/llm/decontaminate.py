@@ -151,7 +151,7 @@ def _matcher(shared, whole: bool):
                 head = [batch.column(0).slice(first, n), pa.array(n_words, pa.int64())]
                 if whole:
                     total = np.concatenate([[0], np.cumsum(hit)])
-                    yield pa.RecordBatch.from_arrays([*head, pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()), pa.array(names, pa.list_(pa.string())), batch.column(2).slice(first, n)], ["doc_id", "n_words", "n_hit", "items", "row"])
                 else:
                     places = [np.flatnonzero(hit[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([*head, pa.array([p.tolist() for p in places], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "places", "items"])
@@ -172,17 +172,20 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, items (ids as strings, sorted), n_items, contaminated.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not read.
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null or empty texts have no words and
     are clean. Items without words or with a null id match nothing. Items of equal text are
     all reported. With an empty benchmark every document is clean. Rows with a null or
-    repeated doc_id are judged row by row.
+    repeated doc_id are judged row by row. ``carry`` names columns of ``docs`` that each row
+    brings along, in the column ``row``, a struct; without any the column is left out.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    brought = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(0)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), brought.alias("row"))
+    kind = source.schema["row"].dataType.simpleString()
     rest, parts = iter(_blocks(benchmark, "item_id", "text", block_bytes)), []
     block = next(rest, [])
     while True:
@@ -195,21 +198,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         windows.order(counts)
         shared = spark.sparkContext.broadcast(windows)
         if following is None and not parts:
-            out = source.mapInArrow(_matcher(shared, True), "doc_id long, n_words long, n_hit long, items array<string>")
+            out = source.mapInArrow(_matcher(shared, True), f"doc_id long, n_words long, n_hit long, items array<string>, row {kind}")
             break
         if not parts:  # several blocks: the rows need a name of their own to meet again
-            source = stored(source.withColumn("row", F.monotonically_increasing_id()), "contamination-rows")
-        rows = source.select("row", "text").mapInArrow(_matcher(shared, False), "row long, n_words long, places array<long>, items array<string>")
+            source = stored(source.withColumn("number", F.monotonically_increasing_id()), "contamination-rows")
+        rows = source.select("number", "text").mapInArrow(_matcher(shared, False), "number long, n_words long, places array<long>, items array<string>")
         parts.append(rows)
         if following is None:
             merged = parts[0]
             for part in parts[1:]:
                 merged = merged.union(part)
-            merged = merged.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            out = source.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
+            merged = merged.groupBy("number").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            out = source.select("number", "doc_id", "row").join(merged, "number").select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items", "row")
             break
         block = following
-    return out.select("doc_id", "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"), *(["row"] if carry else []))
 
 
 def item_digest(items: str = "items"):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from docweave.llm import decontaminate, line_dedup, near_dedup, piece_dropout, quality_classifier
 
 import corpus_pipeline as cp
@@ -50,3 +51,29 @@ def test_nulls_and_empty_tables(spark, sf_dir):
         for name, stage in cp.STAGES:
             docs = cp.stored(stage(spark, docs, sf_dir), "test-nulls")
             assert docs.count() <= 4, name
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 100").first().text
+    clean = " ".join(f"plain{i} words{i}" for i in range(40))
+    other = " ".join(f"further{i} text{i}" for i in range(40))
+    rows = [(1, item, "en", "a", 1), (1, clean, "en", "b", 2), (None, item, "en", "c", 3), (None, clean, "en", "d", 4)]
+    left = cp.decontaminate_benchmark(spark, spark.createDataFrame(rows, schema), sf_dir).collect()
+    assert sorted(r.source for r in left) == ["b", "d"]
+    rows = [(3, clean, "en", "a", 1), (3, clean, "en", "b", 2), (3, other, "en", "c", 3), (4, clean, "en", "d", 4), (None, clean, "en", "e", 5), (None, "", "en", "f", 6), (9, "", "en", "g", 7)]
+    left = cp.dedup_near(spark, spark.createDataFrame(rows, schema).repartition(3), sf_dir).collect()
+    got = sorted(r.source for r in left)
+    assert got in (["a", "c", "f", "g"], ["b", "c", "f", "g"])
+
+
+def test_clashing_columns_and_long_texts(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    text = "\n".join(f"line {i} " + " ".join(f"w{(i * 7919 + k) % 9973}" for k in range(30)) for i in range(4000))
+    rows = [(1, text, "en", "s", len(text)), (2, text[: len(text) // 2] + "x" * 200_000, "en", "s", 5)]
+    docs = spark.createDataFrame(rows, schema)
+    for name in ("score", "row", "kept", "n_words", "spans", "component_id"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for name, stage in cp.STAGES:
+        docs = cp.stored(stage(spark, docs, sf_dir), "test-clash")
+        assert name == cp.STAGES[-1][0] or docs.columns == schema.names

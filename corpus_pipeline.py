@@ -18,12 +18,6 @@ from docweave.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among those of ``verdicts``, a null id included."""
-    ids = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-
-
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more. It learns from the stage's own documents that have labels."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -38,16 +32,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates (similarity 0.8 on five-word shingles)."""
-    groups = near_dedup.near_duplicates(docs)
-    first = docs.join(groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return first.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row, that of the smallest id (a null one last), of each group of near duplicates (similarity 0.8 on five-word shingles).
+
+    Rows are judged one by one: of repeated rows one stays, different texts of one id are
+    documents of their own. Rows without words are in no group and stay.
+    """
+    numbered = stored(docs.select(*COLUMNS).withColumn("number", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = near_dedup.near_duplicates(numbered, id_col="number").select(F.col("doc_id").alias("number"), "component_id")
+    ranked = groups.join(numbered.select("number", "doc_id"), "number").select("component_id", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "number").alias("place"))
+    first = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select("place.number")
+    return numbered.join(first, "number", "left_semi").select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark items."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.where("not contaminated"))
+    """Rows that are not contaminated with benchmark items, each judged by its own text."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    return found.where("not contaminated").select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,21 @@
 """Balanced sharding by label propagation: linked documents gather in one shard while row counts stay equal.
 
-Documents of equal text are linked. Members of such a group are alike, so the state is a
-histogram (group, shard, number), not a row per document. Each round joins the members that
-are not settled yet with the shards where their group has neighbours; each group asks for
-the one with most of them that has room, and requests are granted up to the shard's quota.
-What no quota admits, and documents without links, then fill the remaining quotas in one
-sequence of groups, so that only a group at the border of two shards is cut.
+Documents of equal text are linked, all with all. Members of such a group are alike, so the
+state is a histogram (group, shard, number), not a row per document. Every document starts
+with a label of its own, a hash of its id and text; these are the votes of its neighbours.
+
+Propagation: each round joins the groups that wait with their votes, and a group asks for
+the shard where it has most neighbours among those with room for all of it. Requests are
+granted whole, large groups first, up to the shard's quota; who is refused asks again
+elsewhere. Only a group larger than every remaining room is cut: it fills the roomiest shard
+and waits with the rest. Movement: of a cut group the members in its smallest cell move to
+the shard with most of its members that has room, round by round, as long as the number of
+cut edges falls. Documents without links then fill what the quotas leave.
 
 Law ``rows``: shard sizes in rows differ by one at most. Everything is DataFrame
-operations; running totals are taken within buckets of a key's hash and carried by a table
-of bucket totals, so that no task holds a shard or a group of copies.
+operations; running totals are taken within buckets and carried by a table of bucket totals,
+so that no task holds a shard or a group of copies. Labels depend on ids and texts only, so
+the result does not depend on how the rows lie in files.
 """
 
 from __future__ import annotations
@@ -19,8 +25,10 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import stored
 
-#: Buckets of a running total, and of the members of one group.
-BUCKETS, SALTS = 256, 64
+#: Rows that one bucket of a running total holds, about, and the fewest buckets.
+BUCKET_ROWS, BUCKETS = 100_000, 64
+#: Groups of more rows than this are joined with their cells in several tasks.
+HOT_ROWS = 10_000
 GROUP = ("ga", "gb")
 
 
@@ -34,75 +42,142 @@ def running(df: DataFrame, keys: list[str], value: str, order: list[str]) -> Dat
     return df.withColumn("inside", inside).join(offsets, where).withColumn("before", F.col("offset") + F.col("inside")).drop("inside", "offset")
 
 
-def _granted(asking: DataFrame, room: dict[int, int]) -> DataFrame:
-    """(group, shard, number) for requests (group, bucket, number, target), up to each target's room."""
-    rooms = F.element_at(F.create_map(*(F.lit(x) for k, v in room.items() for x in (k, v))), F.col("target"))
-    taken = F.greatest(F.lit(0), F.least(F.col("number"), rooms - F.col("before")))
-    asked = running(asking, ["target"], "number", list(GROUP))
-    return asked.select(*GROUP, "bucket", F.col("target").alias("shard"), taken.cast("long").alias("number")).where("number > 0")
+def _rooms(room: dict[int, int]):
+    """The shards with room, roomiest first, as an array of (shard, room)."""
+    return F.array(*(F.struct(F.lit(k).alias("shard"), F.lit(v).cast("long").alias("room")) for k, v in sorted(room.items(), key=lambda x: (-x[1], x[0]))))
+
+
+def _total(df: DataFrame) -> dict[int, int]:
+    return {r.shard: r.n for r in df.groupBy("shard").agg(F.sum("number").alias("n")).collect()}  # a row for each shard
+
+
+def _propagated(waiting: DataFrame, votes: DataFrame, room: dict[int, int]) -> DataFrame | None:
+    """Cells (group, shard, number) of the groups (group, bucket, number); ``room`` is brought down to what is left."""
+    spark, settled, step = waiting.sparkSession, None, 0
+    while True:
+        largest = waiting.orderBy(F.desc("number"), *GROUP).limit(len(room)).collect()  # one for each shard at most: those that a round can place when none fits whole
+        if not largest:
+            return settled
+        open_ = sorted(((v, -k) for k, v in room.items() if v > 0), reverse=True)
+        if largest[0].number > open_[0][0]:
+            cut = [(r.ga, r.gb, -k, v) for r, (v, k) in zip([x for x in largest if x.number > open_[0][0]], open_, strict=False)]
+            cells = F.array(*(F.struct(F.lit(a).alias("ga"), F.lit(b).alias("gb"), F.lit(s).alias("shard"), F.lit(n).cast("long").alias("number")) for a, b, s, n in cut))
+            accepted = spark.range(1).select(F.explode(cells).alias("cell")).select("cell.*")
+        else:
+            fits = F.filter(_rooms({k: v for k, v in room.items() if v > 0}), lambda x: x["room"] >= F.col("number"))
+            wide = waiting.withColumn("fits", fits)
+            wished = wide.join(votes, list(GROUP)).where(F.array_contains(F.transform("fits", lambda x: x["shard"]), F.col("label")))
+            wished = wished.groupBy(*GROUP).agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("near"))
+            spread = F.get("fits", F.pmod(F.xxhash64(*GROUP, F.lit(step)), F.size("fits").cast("long")).cast("int"))["shard"]
+            # Whoever was refused by its neighbours' shard tries others by turns.
+            target = F.coalesce("near", spread) if step % 2 == 0 else spread
+            asking = wide.join(wished, list(GROUP), "left").select(*GROUP, "bucket", "number", target.alias("shard"))
+            rooms = F.element_at(F.create_map(*(F.lit(x) for k, v in room.items() for x in (k, v))), F.col("shard"))
+            accepted = running(asking, ["shard"], "number", ["bucket", F.desc("number"), *GROUP]).where(F.col("before") + F.col("number") <= rooms).select(*GROUP, "shard", "number")
+        accepted = stored(accepted, "shard-accepted")
+        for k, n in _total(accepted).items():
+            room[k] -= n
+        settled = accepted if settled is None else settled.unionByName(accepted)
+        left = waiting.join(accepted.select(*GROUP, F.col("number").alias("taken")), list(GROUP), "left")
+        waiting = stored(left.select(*GROUP, "bucket", (F.col("number") - F.coalesce("taken", F.lit(0))).alias("number")).where("number > 0"), "shard-waiting")
+        step += 1
+
+
+def _edges(cells: DataFrame) -> float:
+    """Links between different shards: all pairs of a group less those within one cell."""
+    whole = cells.groupBy(*GROUP).agg(F.sum("number").cast("double").alias("n"), F.sum(F.col("number").cast("double") * F.col("number")).alias("inside"))
+    return whole.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()[0] or 0.0
+
+
+def _moved(cells: DataFrame, room: dict[int, int]) -> tuple[DataFrame, list[float]]:
+    """The cells after movement, and the number of cut edges before it and after each round."""
+    cells = cells.groupBy(*GROUP, "shard").agg(F.sum("number").alias("number"))
+    cut = [_edges(cells)]
+    while cut[-1] and any(v > 0 for v in room.values()):
+        split = cells.groupBy(*GROUP).agg(
+            F.max_by("shard", F.when(F.col("shard").isin([k for k, v in room.items() if v > 0]), F.struct("number", -F.col("shard")))).alias("target"),
+            F.min(F.struct("number", "shard")).alias("least"),
+            F.count("*").alias("n"),
+        )
+        asking = split.where("n > 1 and target is not null and target <> least.shard").select(*GROUP, F.col("least.shard").alias("source"), F.col("target").alias("shard"), F.col("least.number").alias("number"), F.pmod("ga", F.lit(BUCKETS)).alias("bucket"))
+        rooms = F.element_at(F.create_map(*(F.lit(x) for k, v in room.items() for x in (k, v))), F.col("shard"))
+        granted = F.greatest(F.lit(0), F.least(F.col("number"), rooms - F.col("before"))).cast("long")
+        moves = stored(running(asking, ["shard"], "number", [*GROUP]).select(*GROUP, "source", "shard", granted.alias("number")).where("number > 0"), "shard-moves")
+        arrived = moves.select(*GROUP, "shard", "number")
+        gone = moves.select(*GROUP, F.col("source").alias("shard"), (-F.col("number")).alias("number"))
+        after = stored(cells.unionByName(arrived).unionByName(gone).groupBy(*GROUP, "shard").agg(F.sum("number").alias("number")).where("number > 0"), "shard-moved")
+        edges = _edges(after)
+        if edges >= cut[-1]:
+            break
+        for change in (arrived, gone):
+            for k, n in _total(change).items():
+                room[k] -= n
+        cells = after
+        cut.append(edges)
+    return cells, cut
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 16, trace: list | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text plus one; a null text counts as none, with CRC 0, and groups
     with the empty text. Null and repeated ids are placed like any row. grown_shard is null
-    under the law ``rows``. No rows: no rows. Other columns are not read.
+    under the law ``rows``. No rows: no rows. Other columns are not read. ``trace`` receives
+    the numbers of cut edges before movement and after each of its rounds.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
+        # Rows alike in id and text are dealt over several windows; which of them goes where makes no difference.
+        F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int").alias("part"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("ga"),
         F.xxhash64(F.lit(1), text).alias("gb"),
     )
-    rows = stored(rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), "shard-rows")
+    rows = stored(rows, "shard-rows")
     total = rows.count()
+    buckets = max(BUCKETS, total // BUCKET_ROWS)
     quota = {k: total // shards + (k < total % shards) for k in range(shards)}
-    first_label = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int")
-    votes = rows.groupBy(*GROUP, first_label.alias("label")).agg(F.count("*").alias("votes"))
-    groups = votes.groupBy(*GROUP).agg(F.sum("votes").alias("number"), F.max_by("label", F.struct("votes", -F.col("label"))).alias("home"))
-    groups = stored(groups.withColumn("bucket", F.pmod(F.col("ga"), F.lit(BUCKETS)).cast("int")), "shard-groups")
+    members = stored(rows.groupBy(*GROUP, "id", "part").agg(F.count("*").alias("copies")), "shard-members")
+    label = F.pmod(F.xxhash64(*GROUP, "id"), F.lit(shards)).cast("int")
+    votes = members.groupBy(*GROUP, label.alias("label")).agg(F.sum("copies").alias("votes"))
+    # Buckets rise as sizes fall, so that running totals meet large groups first.
+    by_size = (63 - F.floor(F.log2("number"))).cast("long") * buckets + F.pmod("ga", F.lit(buckets))
+    groups = stored(votes.groupBy(*GROUP).agg(F.sum("votes").alias("number")).withColumn("bucket", by_size), "shard-groups")
+    linked = groups.where("number > 1")
+    votes = stored(votes.join(linked.select(*GROUP), list(GROUP), "left_semi"), "shard-votes")
 
-    waiting = groups.where("number > 1")
-    settled = groups.select(*GROUP, "bucket", F.col("home").alias("shard"), "number").limit(0)
     room = dict(quota)
-    for step in range(rounds):
-        free = [k for k in sorted(room, key=lambda k: (-room[k], k)) if room[k] > 0]
-        if not free or not waiting.limit(1).count():
-            break
-        neighbours = settled.where(F.col("shard").isin(free)).groupBy(*GROUP).agg(F.max_by("shard", F.struct("number", -F.col("shard"))).alias("near"))
-        spread = F.element_at(F.array(*map(F.lit, free)), (F.pmod(F.xxhash64(*GROUP, F.lit(step)), F.lit(len(free))) + 1).cast("int"))
-        near = F.coalesce(F.col("near"), F.when(F.col("home").isin(free), F.col("home")), spread)
-        asking = waiting.join(neighbours, list(GROUP), "left").select(*GROUP, "bucket", "number", "home", near.alias("target"))
-        accepted = stored(_granted(asking, room), "shard-accepted")
-        for r in accepted.groupBy("shard").agg(F.sum("number").alias("n")).collect():  # a row for each shard
-            room[r.shard] -= r.n
-        settled = settled.union(accepted.select(*settled.columns))
-        left = waiting.join(accepted.select(*GROUP, F.col("number").alias("taken")), list(GROUP), "left")
-        waiting = stored(left.select(*GROUP, (F.col("number") - F.coalesce("taken", F.lit(0))).alias("number"), "home", "bucket").where("number > 0"), "shard-waiting")
-
-    rest = running(waiting.unionByName(groups.where("number = 1")).select(*GROUP, "bucket", "number"), [], "number", list(GROUP))
+    settled = _propagated(linked, votes, room)
+    single = groups.where("number = 1")
+    if settled is not None:
+        settled, cut = _moved(settled, room)
+        if trace is not None:
+            trace.extend(cut)
+    rest = running(single, [], "number", list(GROUP))
     spans, at = [], 0
     for k in range(shards):
         spans.append(F.struct(F.lit(k).alias("shard"), F.lit(at).cast("long").alias("low"), F.lit(at + room[k]).cast("long").alias("high")))
         at += room[k]
-    end = F.col("before") + F.col("number")
-    filled = rest.withColumn("span", F.explode(F.filter(F.array(*spans), lambda s: (s["low"] < end) & (s["high"] > F.col("before")))))
-    filled = filled.select(*GROUP, "bucket", F.col("span.shard").alias("shard"), (F.least(end, F.col("span.high")) - F.greatest("before", F.col("span.low"))).alias("number"))
-    cells = settled.union(filled.select(*settled.columns)).groupBy(*GROUP, "bucket", "shard").agg(F.sum("number").alias("number"))
+    filled = rest.withColumn("span", F.explode(F.filter(F.array(*spans), lambda s: (s["low"] <= F.col("before")) & (s["high"] > F.col("before")))))
+    cells = filled.select(*GROUP, F.col("span.shard").alias("shard"), "number")
+    if settled is not None:
+        cells = settled.unionByName(cells)
     # Slots of a shard's cell, and the ranks within its group that the cell holds.
-    cells = running(cells, ["shard"], "number", list(GROUP)).withColumnRenamed("before", "slot_base")
+    cells = running(cells.withColumn("bucket", F.pmod("ga", F.lit(buckets))), ["shard"], "number", list(GROUP)).withColumnRenamed("before", "slot_base")
     inside = Window.partitionBy(*GROUP).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard at most
-    cells = stored(cells.withColumn("low", F.coalesce(F.sum("number").over(inside), F.lit(0))).select(*GROUP, "shard", "slot_base", "low", (F.col("low") + F.col("number")).alias("high")), "shard-cells")
-
-    salts = rows.groupBy(*GROUP, "salt").agg(F.count("*").alias("n"))
-    salts = salts.select(*GROUP, "salt", F.coalesce(F.sum("n").over(Window.partitionBy(*GROUP).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*GROUP, "salt").orderBy("row"))).join(salts, [*GROUP, "salt"])
-    ranked = ranked.withColumn("rank", F.col("offset") + F.col("place") - 1)
-    placed = ranked.join(cells, list(GROUP)).where("rank >= low and rank < high")
+    cells = cells.withColumn("low", F.coalesce(F.sum("number").over(inside), F.lit(0))).withColumn("whole", F.sum("number").over(Window.partitionBy(*GROUP)))
+    # A row of a large group meets a copy of its group's cells, one of several.
+    salts = F.when(F.col("whole") > HOT_ROWS, F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.array(F.lit(0)))
+    cells = stored(cells.select(*GROUP, "shard", "slot_base", "low", (F.col("low") + F.col("number")).alias("high"), salts.alias("salts")), "shard-cells")
+
+    ranks = running(members.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))), list(GROUP), "copies", ["id", "part"]).drop("copies")
+    ranks = ranks.join(groups.select(*GROUP, "number"), list(GROUP))
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*GROUP, "id", "part").orderBy("size"))).join(ranks, [*GROUP, "id", "part"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("place") - 1).withColumn("salt", F.when(F.col("number") > HOT_ROWS, F.pmod("rank", F.lit(BUCKETS)).cast("int")).otherwise(0))
+    placed = ranked.join(cells.withColumn("salt", F.explode("salts")), [*GROUP, "salt"]).where("rank >= low and rank < high")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot_base") + F.col("rank") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

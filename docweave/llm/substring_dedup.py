@@ -20,11 +20,13 @@ windows can only equal windows of segments with an equal anchor. The stages:
 
 An anchor with more occurrences than a task should hold is dealt over several tasks
 (``anchor_rows``); each resolves its part, and the first windows of the parts are compared in one more
-aggregation over 128-bit window hashes. Which anchors are so frequent is estimated on a
-sample of documents: it decides where rows go, never what is removed.
+aggregation over 128-bit window hashes. The segments of every anchor that stage 1 sends on are counted
+over all texts first (anchor and number are shuffled, nothing else). The broadcast list holds the
+``FREQUENT`` most frequent ones at most; any other has fewer occurrences than all segments
+divided by that number. It decides where rows go, never what is removed.
 
-Between the stages rows travel as column blobs per bucket, a bucket's size being set by
-the amount of text, so the JVM moves few rows.
+Between the stages rows travel as column blobs per bucket; the number of buckets follows
+the amount of text, at any size, so that a bucket stays as large as it is.
 """
 
 from __future__ import annotations
@@ -44,15 +46,15 @@ from docweave.llm.common import BYTE_VALUES, Prefix, _byte_values, mix, stored,
 _U = np.uint64
 LENGTH, GRAM = 100, 20
 BLOCK, FLUSH = 1 << 19, 300_000
-BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 17
-#: Occurrences of one anchor that one task resolves; documents of the sample that finds more frequent ones.
-ANCHOR_ROWS, SAMPLE_DOCS = 50_000, 4_000
+BUCKET_BYTES = 2 << 20
+#: Occurrences of one anchor that one task resolves; anchors that the broadcast list holds at most (16 bytes each).
+ANCHOR_ROWS, FREQUENT = 50_000, 2_000_000
 OTHER_VALUES = _byte_values(9973)
 NO_ID = -(1 << 63)
 
 SEGMENT = (("m", "<u8"), ("c", "<u8"), ("e", "<u4"), ("doc", "<i8"), ("v", "<i8"), ("a", "<i4"), ("left", "u1"), ("n", "u1"))
 RANGE = (("doc", "<i8"), ("v", "<i8"), ("low", "<i4"), ("high", "<i4"))
-WANTED = (("m", "<u8"), ("part", "<u2"), ("doc", "<i8"), ("v", "<i8"), ("a", "<i4"), ("left", "u1"), ("n", "u1"))
+WANTED = (("m", "<u8"), ("part", "<u4"), ("doc", "<i8"), ("v", "<i8"), ("a", "<i4"), ("left", "u1"), ("n", "u1"))
 
 Columns = dict[str, np.ndarray]
 
@@ -508,13 +510,15 @@ def _cover(length: int):
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _document_segments(batches, length):
-            values, counts = np.unique(rows["m"], return_counts=True)
+            # Of equal segments in a portion only the first goes on to stage 2, so only it counts.
+            _, first = np.unique(mix(rows["m"] + rows["c"] * _U(0xD1342543DE82EF95)) ^ rows["e"].astype(_U), return_index=True)
+            values, counts = np.unique(rows["m"][first], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["m", "n"])
 
     return run
 
 
-def removed_substrings(docs: DataFrame, length: int = LENGTH, anchor_rows: int = ANCHOR_ROWS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def removed_substrings(docs: DataFrame, length: int = LENGTH, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
     Texts are UTF-8 bytes, a null is empty; windows never cross documents and are judged on
@@ -529,15 +533,14 @@ def removed_substrings(docs: DataFrame, length: int = LENGTH, anchor_rows: int =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     source = docs.select(doc, (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("v"), text.alias("text"))
-    facts = source.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
-    doc_buckets = prime_from(max(17, -(-(facts.bytes or 0) // BUCKET_BYTES)))
-    buckets = min(doc_buckets, MOST_BUCKETS)
-
-    share = min(1.0, sample_docs / max(1, facts.rows))
-    seen = source.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).mapInArrow(tidied(_anchors(length)), "m long, n long")
-    often = seen.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") > max(3, anchor_rows * share)).orderBy(F.desc("n")).limit(100_000).collect() if facts.rows * 4 > anchor_rows else []
-    frequent = np.array([r.m for r in often], np.int64).view(_U)
-    parts = np.array([2 + int(r.n / share / anchor_rows) for r in often], np.int64)
+    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    doc_buckets = prime_from(max(17, -(-size // BUCKET_BYTES)))
+    buckets = doc_buckets
+
+    counted = source.mapInArrow(tidied(_anchors(length)), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("n") > anchor_rows).orderBy(F.desc("n")).limit(FREQUENT).toArrow()
+    frequent = often.column("m").to_numpy().astype(np.int64).view(_U)
+    parts = 1 + often.column("n").to_numpy().astype(np.int64) // anchor_rows + 1
     by = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((buckets, doc_buckets, frequent[by], parts[by]))
 

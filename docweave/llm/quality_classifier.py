@@ -17,15 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import BYTE_VALUES, SPACES, Prefix, give_back, mix, text_blocks, word_hashes, words
+from docweave.llm.common import BYTE_VALUES, SPACES, Prefix, give_back, mix, stored, text_blocks, word_hashes, words
 
 _U = np.uint64
 TABLE_BITS, NGRAMS = 18, (3, 5)
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 2_500
+#: Bytes of the features of these rows that the driver takes, at most; rows beyond it are not learned from.
+SAMPLE_BYTES = 256 << 20
+#: A document's vector averages its features, so each of them sees a small part of the gradient; their rate is higher by this factor,
+#: or by as much as their number allows: the average then moves by the plain rate at most, or a text of a few words would diverge.
+VECTOR_RATE = 100
 BLOCK = 1 << 19
 
 
@@ -50,10 +55,13 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = TABLE_BITS) -> I
     gaps = np.zeros(len(padded) + 1, np.int32)
     np.cumsum(gap, out=gaps[1:])
     prefix = Prefix(np.where(gap, BYTE_VALUES[32], BYTE_VALUES[padded]))
+    # Characters begin at bytes that continue none.
+    chars = np.append(np.flatnonzero((padded & 0xC0) != 0x80), len(padded))
     for length in NGRAMS:
-        count = max(0, len(padded) - length + 1)
-        at = np.flatnonzero(gaps[length - 1 : length - 1 + count] == gaps[1 : 1 + count])
-        yield (mix(prefix.of(at, at + length) + _U(length)) >> shift).astype(np.int64), np.searchsorted(at, bounds)
+        at, last, stop = chars[:-length], chars[length - 1 : -1], chars[length:]
+        whole = gaps[last] == gaps[at + 1]  # white space at either end only
+        at, stop = at[whole], stop[whole]
+        yield (mix(prefix.of(at, stop) + _U(length)) >> shift).astype(np.int64), np.searchsorted(at, bounds)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +108,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
         return Model(vectors, output, bias)
     most = max(len(g) for g in groups)
     weights = [(c / max(1, c.sum())).astype(np.float32) for _, c in bags]
+    scale = [min(VECTOR_RATE, 1 / max(float(w @ w), 1e-12)) for w in weights]
     total, step = epochs * 2 * most, 0
     for _ in range(epochs):
         order = np.concatenate([np.resize(rng.permutation(g), most) for g in groups])
@@ -115,7 +124,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
             back = p @ output
             output -= lr * np.outer(p, hidden)
             bias -= lr * 0.1 * p
-            vectors[ids] -= (lr * 100 * w)[:, None] * back
+            vectors[ids] -= (lr * scale[k] * w)[:, None] * back
     return Model(vectors, output, bias)
 
 
@@ -136,13 +145,16 @@ def _score(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled ids whose crc32 modulo 3 is not 1, those with the smallest hashes."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled ids whose crc32 modulo 3 is not 1, those with the smallest hashes: at most ``sample_rows``, with ``sample_bytes`` of features."""
     ours = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(ours)
     chosen = label.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
-    rows = texts.mapInArrow(_bags, "doc_id long, quality int, ids binary, counts binary").toArrow().sort_by("doc_id").to_pydict()
+    found = stored(texts.mapInArrow(_bags, "doc_id long, quality int, ids binary, counts binary"), "bags")
+    total = F.sum(F.octet_length("ids").cast("long") + F.octet_length("counts")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = found.select("doc_id", total.alias("total")).where(F.col("total") <= sample_bytes).select("doc_id")  # sample_rows numbers at most
+    rows = found.join(F.broadcast(within), "doc_id", "left_semi").toArrow().sort_by("doc_id").to_pydict()
     bags = [(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
     model = train(bags, np.array(rows["quality"], np.int64))
     del rows, bags

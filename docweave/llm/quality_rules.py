@@ -251,7 +251,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     chosen = label.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(sample_rows)
     chosen = F.broadcast(chosen)  # sample_rows pairs of numbers at most
     texts = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
-    sample = text_statistics(texts).join(chosen, "doc_id").where(~base_failed()).orderBy(order, *STATISTICS).toPandas()  # bounded by sample_rows, or the copies of those ids
+    sample = text_statistics(texts).join(chosen, "doc_id").where(~base_failed())
+    # One row for each id, that of the least statistics where an id has several texts.
+    sample = sample.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct(*STATISTICS)).alias("least"))
+    sample = sample.orderBy(order, "doc_id").select("quality", "least.*").toPandas()  # sample_rows rows at most
     rules = learn_rules({k: sample[k].to_numpy(np.int64) for k in STATISTICS}, sample["quality"].to_numpy() == 1)
     rows = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules)))
     return rows, rules

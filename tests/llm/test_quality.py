@@ -100,3 +100,70 @@ def test_averages_equal_the_plain_model():
         alone = list(qc.features(np.frombuffer(own, np.uint8), np.array([0, len(own)])))
         for (index, cuts), (one, one_cuts) in zip(parts, alone, strict=True):
             assert index[cuts[k] : cuts[k + 1]].tolist() == one[one_cuts[0] : one_cuts[1]].tolist()
+
+
+def test_grams_are_of_characters():
+    """Features of a text counted by hand: words, pairs, and runs of 3 and 5 characters without white space inside."""
+    text = "Größe zählt für öäü\nβγδε ok ok"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = list(qc.features(raw, np.array([0, len(raw)])))
+    padded = " " + text.replace("\n", " ") + " "
+    for (index, cuts), length in zip(found[2:], qc.NGRAMS, strict=True):
+        grams = [padded[i : i + length] for i in range(len(padded) - length + 1) if " " not in padded[i + 1 : i + length - 1]]
+        assert cuts.tolist() == [0, len(grams)]
+        names = {}
+        for g, k in zip(grams, index.tolist(), strict=True):
+            assert names.setdefault(g, k) == k
+    assert len(found[0][0]) == 7 and len(found[1][0]) == 6
+
+
+def test_score_is_the_plain_average_and_softmax(spark):
+    texts = ["good words here and there", "bad spam spam spam", "", None, "ünïcode größe"]
+    rng = np.random.default_rng(3)
+    model = qc.Model(rng.normal(size=(1 << qc.TABLE_BITS, 4)).astype(np.float32), rng.normal(size=(2, 4)).astype(np.float32), np.array([0.3, -0.2], np.float32))
+    got = {r.doc_id: r.score for r in qc.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        index = np.concatenate([x for x, _ in qc.features(raw, np.array([0, len(raw)]))])
+        hidden = model.vectors[index].astype(np.float64).mean(axis=0) if len(index) else np.zeros(4)
+        power = np.exp(model.output.astype(np.float64) @ hidden + model.bias)
+        assert abs(got[k] - power[1] / power.sum()) < 1e-4
+
+
+def test_training_follows_the_gradient():
+    """One step on one document against the gradient of the log loss by differences."""
+    bags, labels = [(np.array([1, 2]), np.array([1, 3])), (np.array([2]), np.array([2]))], np.array([1, 0])
+
+    def loss(model):
+        out = 0.0
+        for (ids, n), y in zip(bags, labels, strict=True):
+            z = model.output @ ((n / n.sum()) @ model.vectors[ids]) + model.bias
+            out -= z[y] - np.log(np.exp(z).sum())
+        return out
+
+    models = [qc.train(bags, labels, bits=4, dim=3, epochs=e) for e in (1, 20, 100)]
+    assert loss(models[0]) > loss(models[1]) > loss(models[2]) and loss(models[2]) < 0.3
+
+
+def test_bound_on_feature_bytes(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * 50) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    none = qc.fit(docs, labels, sample_bytes=0)
+    assert none.bias[0] == none.bias[1]
+    assert qc.fit(docs, labels).bias.tolist() != none.bias.tolist()
+
+
+def test_repeated_ids_and_the_verdict_column(spark):
+    rows = [(7, f"copy {i} " + " ".join(f"w{k}" for k in range(60))) for i in range(500)]
+    rows += [(100 + i, " ".join(("# " if i % 2 else "") + f"x{k}" for k in range(70))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(100 + i, (i + 1) % 2) for i in range(120)], "doc_id long, quality int")
+    out, rules = qr.quality_rules(docs, labels)
+    assert rules
+    found = out.collect()
+    assert len(found) == 620
+    values = qr.ratio_values({k: np.array([getattr(r, k) for r in found]) for k in qr.STATISTICS})
+    covered = np.zeros(620, bool)
+    for rule in rules:
+        covered |= np.logical_and.reduce([c.holds(values) for c in rule])
+    assert [r.kept for r in found] == [not (c or r.base_failed) for c, r in zip(covered.tolist(), found, strict=True)]

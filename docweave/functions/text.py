@@ -50,16 +50,22 @@ def heading_key(normal: Column) -> Column:
     return F.when(article != "", article).when(number != "", F.regexp_replace(number, "\\.+$", "")).when(chinese != "", chinese)
 
 
+def _grams(text: Column, width: int) -> Column:
+    """All substrings of ``width`` characters, in order: the characters once, zipped with themselves shifted."""
+    chars = F.split(text, "")
+    count = F.greatest(F.length(text) - (width - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(chars, F.lit(k + 1), count).alias(str(k)) for k in range(width)))
+    return F.transform(shifted, lambda x: F.concat(*(x[str(k)] for k in range(width))))
+
+
 def bigrams(text: Column) -> Column:
     """The set of two-character substrings."""
-    places = F.when(F.length(text) >= 2, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(2))))
+    return F.array_distinct(_grams(text, 2))
 
 
 def shingles(text: Column, width: int, most: int) -> Column:
     """The first ``most`` distinct substrings of ``width`` characters."""
-    places = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.slice(F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(width)))), 1, most)
+    return F.slice(F.array_distinct(_grams(text, width)), 1, most)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -237,10 +237,11 @@ FROM items LEFT JOIN labels ON labels.doc_id = pair WHERE coalesce(quality, 1) <
 
 
 def template_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against the benchmark items as templates."""
-    docs = v.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("file_name"), F.lit(None).cast("string").alias("title"), F.split("text", "\n").alias("paragraphs"), F.array().cast("array<string>").alias("tables"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long").alias("id"), F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".docx")).alias("file_name"), F.lit(None).cast("string").alias("title"), F.split("text", "\n").alias("paragraphs"), F.array().cast("array<string>").alias("tables"), (F.col("item_id") % 2 == 0).alias("is_current"))
-    found = recommend.recommend(recommend.scored(docs, items), least=0.25)
+    """All documents against the stated query set of templates, those whose id is divisible by 50."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    docs = v.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), name.alias("file_name"), F.lit(None).cast("string").alias("title"), F.split("text", "\n").alias("paragraphs"), F.array().cast("array<string>").alias("tables"))
+    templates = docs.where("id % 50 = 0").withColumn("is_current", F.col("id") % 100 == 0)
+    found = recommend.recommend(recommend.scored(docs, templates, least=recommend.CANDIDATE))
     return found.where("size(best) > 0").select("doc_id", "kind", F.col("best")[0]["template_id"].alias("template_id"), F.round(F.col("best")[0]["score"], 4).alias("score"), F.size("best").alias("n"))
 
 

@@ -218,3 +218,24 @@ def test_candidates_are_bounded(spark):
     base, cur = sides(spark, {"x": ([f"the same word {i} base" for i in range(120)], [f"the same word {i} cur" for i in range(120)])})
     got = matching.candidates(matching.features(base), matching.features(cur)).groupBy("b_idx").count().agg(F.max("count")).head()[0]
     assert got <= matching.MOST
+
+
+def test_grams_are_linear_and_plain(spark):
+    from docweave.functions import text as tx
+
+    texts = ["", "a", "ab", "abcab", "两个\n字𝄞x𝄞", "xy" * 30_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.bigrams(F.col("t")).alias("b"), tx.shingles(F.col("t"), 3, 4).alias("s")).collect()
+    plain = lambda t, w: list(dict.fromkeys(t[i : i + w] for i in range(len(t) - w + 1)))
+    for r in rows:
+        assert r.b == plain(texts[r.i], 2) and r.s == plain(texts[r.i], 3)[:4]
+
+
+def test_size_bound_loses_no_candidate(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("id"), F.lit("x.docx").alias("file_name"), F.lit(None).cast("string").alias("title"), F.split("text", "\n").alias("paragraphs"), F.array(F.lit("3:2,2")).alias("tables"))
+    templates = docs.where("id % 20 = 0").withColumn("is_current", F.lit(True))
+    for grid in (None, 0):
+        bound = recommend.BROADCAST_BYTES
+        recommend.BROADCAST_BYTES = bound if grid is None else 0
+        whole = {tuple(r) for r in recommend.scored(docs, templates).where("score >= 0.6").collect()}
+        assert {tuple(r) for r in recommend.scored(docs, templates, least=0.6).where("score >= 0.6").collect()} == whole and len(whole) >= 10
+        recommend.BROADCAST_BYTES = bound

@@ -58,7 +58,7 @@ def compare(base: DataFrame, cur: DataFrame) -> Comparison:
     mappings = stored(matching.moved(matched.mappings), "mappings")
     found = stored(changes.text_changes(mappings, base, cur).unionByName(changes.unmatched_changes(matched.deleted, matched.inserted)), "changes")
     grouped = changes.groups(found)
-    return Comparison(matched, mappings, found, grouped, changes.statistics(found, grouped))
+    return Comparison(matched, mappings, found, grouped, changes.statistics(found, grouped, mappings=mappings))
 
 
 def stored_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import changes, matching
+from docweave.operators import annotate, changes, matching
 from docweave.storage import stored
 
 #: A line must be longer to tie versions together.
@@ -61,6 +61,38 @@ def compare(base: DataFrame, cur: DataFrame) -> Comparison:
     return Comparison(matched, mappings, found, grouped, changes.statistics(found, grouped, mappings=mappings))
 
 
+def snapshot_paragraphs(snapshots: DataFrame) -> DataFrame:
+    rows = snapshots.select("pair", F.explode("paragraphs").alias("p"))
+    return rows.select("pair", "p.idx", "p.node", "p.text", tx.normalize(F.col("p.text")).alias("norm"), "p.runs", "p.format")
+
+
+def compare_snapshots(base: DataFrame, cur: DataFrame) -> Comparison:
+    """The whole comparison of paired snapshots (pair, paragraphs, tables, revisions, comments).
+
+    Texts and moves, formats of mapped paragraphs, tables and cells, and the annotations of
+    the current side; ``order_items`` gives the items' total order. Pairs are strings in the result.
+    """
+    key = lambda df: df.withColumn("pair", F.col("pair").cast("string"))
+    base, cur = key(base), key(cur)
+    b, c = stored(snapshot_paragraphs(base), "base"), stored(snapshot_paragraphs(cur), "current")
+    text = ("pair", "idx", "node", "text", "norm")
+    found = compare(b.select(*text), c.select(*text))
+    tables = lambda df: df.select("pair", F.explode("tables").alias("t")).select("pair", "t.table", "t.node", "t.format", "t.cells")
+    cells, _, placed = changes.table_changes(tables(base), tables(cur))
+    every = found.changes.unionByName(changes.paragraph_format_changes(found.mappings, b, c)).unionByName(cells)
+    noted = lambda name: cur.select("pair", F.explode(name).alias("n")).select("pair", "n.*")
+    comments = noted("comments")
+    every = stored(annotate.integrate(every, noted("revisions"), comments), "items")
+    grouped = changes.groups(every)
+    judged = found.mappings.select("pair", "confidence").unionByName(placed.select("pair", "confidence"))
+    return Comparison(found.matched, found.mappings, every, grouped, changes.statistics(every, grouped, comments, judged))
+
+
+def order_items(items: DataFrame) -> DataFrame:
+    """Items of all pairs in their total order: by pair, then by the bytes of their id."""
+    return items.orderBy("pair", "change_id")
+
+
 def stored_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of all version pairs of the table, written once."""
     lines = stored(paragraphs(documents(spark, sf_dir)), "paragraphs")

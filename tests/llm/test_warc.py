@@ -78,3 +78,57 @@ def test_damaged_archives_are_refused():
     for bad in ([b"HTTP/1.1 200 OK"], [good, b"a"], [good]):
         with pytest.raises(ValueError, match="WARC|archive"):
             list(warc.parse_records(iter(bad)))
+
+
+def test_every_record_is_a_member_of_its_own(spark):
+    import glob
+
+    rows = cases()
+    folder, _ = round_trip(spark, rows)
+    kinds, targets = [], {}
+    for path in glob.glob(folder.removeprefix("file://") + "/part-*"):
+        with open(path, "rb") as f:
+            data = f.read()
+        members = [m for m in data.split(warc.EMPTY_MEMBER) if m]
+        found = [warc.parse_member(m)[0] for m in members]
+        # Any reader of gzip files sees the same records.
+        assert [h for h, _ in warc.read_file(path)] == found
+        if found:
+            assert found[0]["warc-type"] == "warcinfo" and all(h["warc-type"] != "warcinfo" for h in found[1:])
+        kinds += [h["warc-type"] for h in found[1:]]
+        targets |= {h["warc-record-id"]: h for h in found}
+    assert len(kinds) == 3 * len(rows) and kinds.count("request") == kinds.count("metadata") == len(rows)
+    again = [h for h in targets.values() if h["warc-type"] == "revisit"]
+    assert again and all(targets[h["warc-refers-to"]]["warc-target-uri"] == h["warc-refers-to-target-uri"] for h in again)
+
+
+def test_files_open_with_warcinfo_when_the_writer_rolls(spark):
+    import glob
+
+    folder = scratch_path(spark, "test-warc")
+    warc.write_archive(pages(spark, cases()), folder, 20)
+    records = warc.read_records(spark, folder)
+    assert records.count() == 3 * len(cases())
+    files = [warc.read_file(p) for p in glob.glob(folder.removeprefix("file://") + "/part-*")]
+    files = [f for f in files if f]
+    assert len(files) > 3 and all(f[0][0]["warc-type"] == "warcinfo" and len(f) <= 20 for f in files)
+
+
+def test_revisits_are_held_against_their_response(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", "a" * 120, 1), (2, "v", "a" * 120, 1)]
+    _, records = round_trip(spark, rows)
+    wrong = F.when(F.col("kind") == "revisit", F.lit(7)).otherwise(F.col("payload_bytes"))
+    with pytest.raises(Exception, match="revisit differs"):
+        warc.capture_digests(records.withColumn("payload_bytes", wrong.cast("long"))).collect()
+    lost = records.where("kind <> 'response'")
+    assert [(r.record_type, r.refers_to) for r in warc.capture_digests(lost).where("page_id = 2").collect()] == [("revisit", None)]
+
+
+def test_damaged_members_are_refused():
+    good = warc._member(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert warc.parse_member(good)[1] == b"abc"
+    for bad in (good[:-3], b"plain", warc._member(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), warc._member(b"HTTP/1.1 200 OK\r\n\r\n")):
+        with pytest.raises(ValueError, match="archive|WARC"):
+            warc.parse_member(bad)

@@ -34,37 +34,54 @@ PLACES = 1 << 20
 
 
 class Windows:
-    """The distinct windows of a block of items: hashes, words, owners."""
+    """The distinct windows of a block of items: a row of word numbers each, their hashes, the items that hold them.
+
+    All are arrays, some 100 bytes a window, so that the index stays near the size of the text.
+    """
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         self.items = [i for i, _ in items]
-        found: dict[tuple[bytes, ...], set[int]] = {}
-        for number, (_, text) in enumerate(items):
+        number: dict[bytes, int] = {}
+        spoken = []
+        for _, text in items:
             raw = lower_ascii(np.frombuffer((text or "").encode(), np.uint8))
             start, end, _ = words(raw, np.array([0, len(raw)]), NOT_ALNUM)
-            own = [raw[a:b].tobytes() for a, b in zip(start, end, strict=True)]
-            for k in range(max(1, len(own) - size + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + size]), set()).add(number)
-        self.words = list(found)
-        self.owners = [sorted(x) for x in found.values()]
-        names = sorted({w for x in self.words for w in x})
-        self.vocabulary = hash_words(names)
-        self.token = dict(zip(names, self.vocabulary.tolist(), strict=True))
-        self.vocabulary = np.sort(self.vocabulary)
-        self.length = np.array([len(x) for x in self.words], np.int64)
-        self.hash = np.array([Prefix(np.array([self.token[w] for w in x], _U)).of(np.array([0]), np.array([len(x)]))[0] for x in self.words], _U)
+            spoken.append(np.array([number.setdefault(raw[a:b].tobytes(), len(number)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int32))
+        self.names = list(number)
+        self.token = hash_words(self.names)
+        self.vocabulary = np.sort(self.token)
+        # One row for each window of each item, short ones filled up with -1.
+        n_words = np.array([len(x) for x in spoken], np.int64)
+        n_windows = np.where(n_words > 0, np.maximum(1, n_words - size + 1), 0)
+        item, low = _expand(np.cumsum(n_words) - n_words, n_windows)
+        length = np.minimum(size, n_words[item])
+        flat = np.concatenate([*spoken, np.full(size, -1, np.int32)])
+        rows = flat[low[:, None] + np.arange(size)]
+        rows[np.arange(size) >= length[:, None]] = -1
+        self.rows, first, kind = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        self.length = length[first]
+        own = np.append(self.token, _U(0))[flat]
+        self.hash = Prefix(own).of(low[first], (low + length)[first]) if len(first) else np.zeros(0, _U)
+        held = np.unique(np.stack([kind.reshape(-1), item], axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.owner = held[:, 1]
+        self.owner_from = np.searchsorted(held[:, 0], np.arange(len(self.rows) + 1))
+
+    def words(self, window: int) -> list[bytes]:
+        return [self.names[k] for k in self.rows[window, : self.length[window]].tolist()]
+
+    def owners(self, window: int) -> list[int]:
+        return self.owner[self.owner_from[window] : self.owner_from[window + 1]].tolist()
 
     def order(self, counts: np.ndarray) -> None:
         """Choose each window's prefix token, the rarest by ``counts`` over the vocabulary; ties go to the smaller hash."""
-        count = dict(zip(self.vocabulary.tolist(), counts.tolist(), strict=True))
-        prefixes = []
-        for number, window in enumerate(self.words):
-            offset = min(range(len(window)), key=lambda k: (count[self.token[window[k]]], self.token[window[k]], k))
-            prefixes.append((self.token[window[offset]], offset, number))
-        prefixes.sort()
-        self.prefix = np.array([p[0] for p in prefixes], _U)
-        self.offset = np.array([p[1] for p in prefixes], np.int64)
-        self.window = np.array([p[2] for p in prefixes], np.int64)
+        count = counts[np.searchsorted(self.vocabulary, self.token)]
+        rank = np.empty(len(count) + 1, np.int64)
+        rank[np.lexsort([self.token, count])] = np.arange(len(count))
+        rank[-1] = len(count)  # for -1, never the rarest
+        offset = rank[self.rows].argmin(axis=1) if len(self.rows) else np.zeros(0, np.int64)
+        prefix = self.token[self.rows[np.arange(len(offset)), offset]]
+        self.window = np.lexsort([offset, prefix])
+        self.prefix, self.offset = prefix[self.window], offset[self.window]
         self.keys, self.first = np.unique(self.prefix, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.prefix)))
 
@@ -131,10 +148,10 @@ def _find(windows: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
         low, high, window, doc = low[fits], high[fits], window[fits], doc[fits]
         same = np.flatnonzero(ranges.of(low, high) == windows.hash[window])
         for a, b, w, d in zip(low[same].tolist(), high[same].tolist(), window[same].tolist(), doc[same].tolist(), strict=True):
-            if all(data[start[a + k] : end[a + k]].tobytes() == x for k, x in enumerate(windows.words[w])):
+            if all(data[start[a + k] : end[a + k]].tobytes() == x for k, x in enumerate(windows.words(w))):
                 cover[a] += 1
                 cover[b] -= 1
-                items[d].update(windows.owners[w])
+                items[d].update(windows.owners(w))
     return np.diff(bounds), items, np.cumsum(cover[:-1]) > 0, bounds, row
 
 

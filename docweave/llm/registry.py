@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, line_dedup, near_dedup, piece_dropout, quality_classifier, quality_rules, shard, substring_dedup, token_store, warc
+from docweave.llm import decontaminate, hard_negatives, line_dedup, media_box, near_dedup, piece_dropout, prefix_trie, quality_classifier, quality_rules, shard, substring_dedup, token_store, warc
 from docweave.llm.common import scratch_path, table
 
 
@@ -151,6 +151,80 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "media")
+    media_box.write_media(table(spark, sf_dir, "documents"), folder)
+    return media_box.read_media(spark, folder)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH points AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, p.vec_id AS other_id, a.label = p.label AS alike, CAST(list_inner_product(a.v, p.v) AS BIGINT) AS score
+  FROM points a JOIN points p ON a.vec_id <> p.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: A node's path is the chain of digests of its turns; every node adds to all nodes above it.
+OP13_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), 256, 256, 256, 256, 256, 256, 256, 256])),
+      lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), whole AS (
+  SELECT c.conv_id, t.role, t.text, t.i AS spot FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, t.role, t.text, c.h + t.i FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h
+), placed AS (
+  SELECT conv_id, sha256(strlen(role) || ':' || role || text) AS said, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY spot) AS depth FROM whole
+), sized AS (
+  SELECT conv_id, count(said) AS n FROM convs LEFT JOIN placed USING (conv_id) GROUP BY conv_id
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS path, '' AS above, CAST(0 AS BIGINT) AS chars FROM convs
+  UNION ALL SELECT p.conv_id, q.depth, sha256(p.path || q.said), p.path, q.chars FROM paths p JOIN placed q ON q.conv_id = p.conv_id AND q.depth = p.depth + 1
+), nodes AS (
+  SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM paths JOIN sized USING (conv_id) GROUP BY depth, path
+), kids AS (
+  SELECT depth - 1 AS depth, above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, path)
+), sums AS (
+  SELECT up.depth, up.path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM full_nodes n JOIN paths low ON low.conv_id = n.conv_id AND low.depth = n.depth
+  JOIN paths up ON up.conv_id = n.conv_id AND up.depth <= n.depth GROUP BY up.depth, up.path
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums s ON s.depth = f.depth AND s.path = f.path LEFT JOIN full_nodes p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.path = f.above
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_classifier": op1_classifier,
@@ -163,8 +237,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_sharding": op10_sharding,
+        "op11_media": op11_media,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_minhash": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op4_minhash": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}

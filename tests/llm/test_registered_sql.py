@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from docweave.llm import registry
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

@@ -1,7 +1,7 @@
 """Paragraph text as columns: normal form, tokens, heading keys, similarity.
 
 Everything but compatibility normalisation is a Catalyst expression. Lengths and positions
-count code points.
+count code points; those of spans count UTF-16 code units, and ``widened`` maps between them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,29 @@ CJK = "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF"
 BIGRAM_WEIGHT, TOKEN_WEIGHT, LENGTH_WEIGHT = 0.45, 0.35, 0.20
 
 
+# Characters that are two UTF-16 code units, and what stands for the second one.
+ASTRAL, SECOND_UNIT = "[\\x{10000}-\\x{10FFFF}]", "\ue000"
+
+
+def widened(text: Column) -> Column:
+    """The text with a place for each UTF-16 code unit: a character of two units is followed by a filler.
+
+    Lengths and places of the result are those of spans; ``narrowed`` takes the fillers of a
+    part away again. A part that begins or ends within a character has a filler too many or
+    too few; differences of texts never do.
+    """
+    return F.when(text.rlike(ASTRAL), F.regexp_replace(text, f"({ASTRAL})", f"$1{SECOND_UNIT}")).otherwise(text)
+
+
+def narrowed(part: Column) -> Column:
+    return F.when(part.rlike(ASTRAL), F.regexp_replace(part, f"({ASTRAL}){SECOND_UNIT}", "$1")).otherwise(part)
+
+
+def units(text: Column) -> Column:
+    """Length in UTF-16 code units."""
+    return F.length(widened(text))
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     """Unicode compatibility composition; texts already in that form pass unchanged."""

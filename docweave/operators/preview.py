@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.diff import SPANS
+from docweave.functions.text import units
 from docweave.operators.display import paragraph_label
 from docweave.operators.review import segments
 
@@ -82,7 +83,7 @@ def formatted(cut: Column, runs: Column, text: Column) -> Column:
 
 
 def clip(spans: Column, offset: Column, length: Column, side: str) -> Column:
-    """The parts of one side's spans that lie in ``length`` characters from ``offset``, counted from there."""
+    """The parts of one side's spans that lie in ``length`` UTF-16 code units from ``offset``, counted from there."""
     low = lambda s: F.greatest(s[f"{side}_start"], offset)
     high = lambda s: F.least(s[f"{side}_start"] + s[f"{side}_len"], offset + length)
     inside = F.filter(spans, lambda s: low(s) < high(s))
@@ -100,7 +101,7 @@ def flat(shown: DataFrame) -> DataFrame:
     """One row for each paragraph of the blocks, with its cell, its place there and its offset in the cell's text."""
     cells = shown.select("*", F.posexplode_outer("cells").alias("cell_no", "cell")).drop("cells")
     rows = cells.select("*", F.posexplode_outer("cell.paragraphs").alias("k", "p"))
-    before = F.aggregate(F.slice("cell.paragraphs", 1, F.col("k")), F.lit(0), lambda n, x: n + F.length(x["text"]) + 1)
+    before = F.aggregate(F.slice("cell.paragraphs", 1, F.col("k")), F.lit(0), lambda n, x: n + units(x["text"]) + 1)
     return rows.select("pair", "position", "node", "label", "is_table", "table", "cell_no", F.col("cell.node").alias("cell_node"), F.col("cell.text").alias("cell_text"), F.size("cell.paragraphs").alias("n_paragraphs"), "k", before.alias("offset"), F.col("p.node").alias("paragraph"), "p.text", "p.runs", "p.alignment")
 
 
@@ -140,7 +141,7 @@ def context(shown: DataFrame, changes: DataFrame, side: str) -> DataFrame:
     joined = F.array_join(F.collect_list("text").over(Window.partitionBy(*keys, "change_id", "cell_node").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "\n")
     rows = rows.withColumns({"mapped": F.col("cell_text") == joined, "chosen": F.coalesce(chosen, F.lit(False))})
     none = F.array().cast(SPANS)
-    spans = F.when(~F.col("chosen"), none).when(of_cell, F.when(F.col("mapped"), clip(F.col("spans"), F.col("offset"), F.length("text"), side)).otherwise(none)).otherwise(F.col("spans"))
+    spans = F.when(~F.col("chosen"), none).when(of_cell, F.when(F.col("mapped"), clip(F.col("spans"), F.col("offset"), units(F.col("text")), side)).otherwise(none)).otherwise(F.col("spans"))
     whole = F.col("chosen") & (F.col("kind").isin("ParagraphInsert", "ParagraphDelete") | (F.col("difference").isNotNull() & (F.size("spans") == 0)))
     cut = segments(F.col("text"), spans, side, whole, clipped=True)
     return rows.withColumn("segments", formatted(cut, F.col("runs"), F.coalesce("text", F.lit("")))).select("pair", "change_id", "position", "label", "cell_node", "k", "paragraph", "chosen", "segments")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.text import units
+
 # Fixed value: least score of a mapping that restores automatically.
 LEAST_SCORE = 0.8
 ITEM = ("pair", "item_id", "b_node", "c_node", "category", "properties", "eligibility", "fallback", "score")
@@ -61,8 +63,8 @@ def paragraph_plan(mappings: DataFrame, base: DataFrame, cur: DataFrame, fields:
 
 
 def run_ranges(side: DataFrame) -> DataFrame:
-    """pair, idx, k, start, stop, node, format of the runs that show text: running sums of their lengths."""
-    rows = side.select("pair", "idx", F.posexplode("runs").alias("k", "run")).withColumn("n", F.length("run.text"))
+    """pair, idx, k, start, stop, node, format of the runs that show text: running sums of their UTF-16 lengths."""
+    rows = side.select("pair", "idx", F.posexplode("runs").alias("k", "run")).withColumn("n", units(F.col("run.text")))
     before = Window.partitionBy("pair", "idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     return rows.withColumn("start", start).select("pair", "idx", "k", "start", (F.col("start") + F.col("n")).alias("stop"), "run.node", "run.format").where("stop > start")

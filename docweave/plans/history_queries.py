@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.diff import SPANS
+from docweave.functions.diff import SPANS, diff_spans
 from docweave.operators import display, history, preview, review
 from docweave.plans import versions as v
 from docweave.plans.compare_queries import LINES, PAIRS
@@ -133,6 +133,21 @@ SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - 1):
   fits AND pos >= a AND pos < a + {_MARK} AS marked FROM pieces JOIN q USING (p_partkey) WHERE till IS NOT NULL"""
 
 
+def marks_beyond_bmp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts behind characters of two UTF-16 units, one word replaced: the differences and what they mark."""
+    part = _t(spark, sf_dir, "part").where("p_name is not null")
+    lead = F.expr("repeat('😀', p_size % 4) || repeat('𝄞x', p_size % 3)")
+    text = lambda word: F.concat(lead, F.lit(word + " "), "p_name")
+    rows = part.select("p_partkey", text("7").alias("old"), text("8").alias("new")).withColumn("spans", diff_spans("old", "new"))
+    marked = rows.select("p_partkey", F.col("spans")[0]["c_start"].alias("c_start"), F.posexplode(review.segments(F.col("new"), F.col("spans"), "c")).alias("k", "s"))
+    return marked.select("p_partkey", "c_start", "k", "s.text", "s.marked")
+
+
+BEYOND_SQL = """WITH p AS (SELECT p_partkey, p_name, repeat('😀', p_size % 4) || repeat('𝄞x', p_size % 3) AS ahead, (2 * (p_size % 4) + 3 * (p_size % 3))::INT AS c_start FROM part WHERE p_name IS NOT NULL),
+pieces AS (SELECT p_partkey, c_start, 0 AS place, ahead AS text, false AS marked FROM p UNION ALL SELECT p_partkey, c_start, 1, '8', true FROM p UNION ALL SELECT p_partkey, c_start, 2, ' ' || p_name, false FROM p)
+SELECT p_partkey, c_start, (row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1)::INT AS k, text, marked FROM pieces WHERE text <> ''"""
+
+
 def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of parts as half points and their types as values, with names of properties and short texts."""
     part = _t(spark, sf_dir, "part")
@@ -258,6 +273,7 @@ QUERIES = {
     "located_paragraphs": (located_paragraphs, LOCATED_SQL),
     "clipped_spans": (clipped_spans, CLIP_SQL),
     "marked_segments": (marked_segments, MARKED_SQL),
+    "marks_beyond_bmp": (marks_beyond_bmp, BEYOND_SQL),
     "shown_values": (shown_values, VALUES_SQL),
     "baseline_choices": (baseline_choices, f"WITH {PROJECTS_SQL} SELECT * EXCLUDE (n) FROM options"),
     "baseline_advice": (baseline_advice, ADVICE_SQL),

@@ -3,7 +3,8 @@ from __future__ import annotations
 import json
 
 import pytest
-from docweave.operators import annotate, display, history, preview, review
+from docweave.functions import diff
+from docweave.operators import annotate, display, history, preview, restore, review
 from docweave.sources import docx
 from pyspark.sql import functions as F
 
@@ -226,3 +227,41 @@ def test_whole_comparison_of_packages(spark):
     assert items["revision:7"].kind == "NativeRevision" and items["revision:7"].format.scope == "Character"
     counted = out.statistics.head()
     assert (counted.total_changes, counted.text_changes, counted.format_changes) == (4, 2, 2)
+
+
+ASTRAL = [("😀😀甲方付款", "😀😀乙方付款", "乙"), ("a😀b", "a😀𝄞b", "𝄞"), ("😀😀甲方", "😀😀乙方", "乙"), ("x😀y\ue000z", "x😀q\ue000z", "q"), ("𝄞\ue000", "𝄞\ue000😀", "😀")]
+
+
+def test_marks_behind_characters_of_two_units(spark):
+    df = spark.createDataFrame(ASTRAL, "old string, new string, want string").withColumn("spans", diff.diff_spans("old", "new"))
+    cut = review.segments(F.col("new"), F.col("spans"), "c")
+    runs = F.array(F.struct(F.substring("new", 1, 2).alias("text"), F.lit("a").alias("format")), F.struct(F.substring("new", 3, 99).alias("text"), F.lit("b").alias("format")))
+    for r in df.select("*", cut.alias("cut"), preview.formatted(cut, runs, F.col("new")).alias("parts")).collect():
+        assert "".join(p.text for p in r.cut) == r.new and [p.text for p in r.cut if p.marked] == [r.want]
+        assert "".join(p.text for p in r.parts) == r.new and "".join(p.text for p in r.parts if p.marked) == r.want
+
+
+def test_cell_paragraphs_behind_characters_of_two_units(spark):
+    """The second paragraph of a cell whose first has such characters keeps its mark."""
+    cell = {"node": "c", "text": "😀😀\n甲方", "paragraphs": [{"node": "p0", "text": "😀😀", "runs": [], "alignment": None}, {"node": "p1", "text": "甲方", "runs": [], "alignment": None}]}
+    kinds = "pair string, position int, node string, label string, is_table boolean, table int, cells array<struct<node:string,text:string,paragraphs:array<struct<node:string,text:string,runs:array<struct<node:string,text:string,format:string>>,alignment:string>>>>"
+    shown = spark.createDataFrame([("p", 0, "t", "", True, 0, [cell])], kinds)
+    assert [(r.k, r.offset) for r in preview.flat(shown).orderBy("k").collect()] == [(0, 0), (1, 5)]
+    spans = spark.createDataFrame([("😀😀\n甲方", "😀😀\n乙方")], "b string, c string").select(diff.diff_spans("b", "c").alias("s"))
+    cut = spans.select(preview.clip(F.col("s"), F.lit(5), F.lit(2), "b").alias("s")).head().s
+    assert [(s.b_start, s.b_len) for s in cut] == [(0, 1)]
+    near = spans.select(review.segments(F.lit("甲方"), preview.clip(F.col("s"), F.lit(5), F.lit(2), "b"), "b").alias("g")).head().g
+    assert [(p.text, p.marked) for p in near] == [("甲", True), ("方", False)]
+
+
+def test_runs_behind_characters_of_two_units(spark):
+    """The run that a format goes to is found by the same units as the spans."""
+    kind = "pair string, idx int, runs array<struct<node:string,text:string,format:struct<color:string>>>"
+    run = lambda node, text, color: (node, text, (color,))
+    base = spark.createDataFrame([("x", 0, [run("b0", "😀😀", "red"), run("b1", "甲", "blue"), run("b2", "方", "green")])], kind)
+    cur = spark.createDataFrame([("x", 0, [run("c0", "😀😀", "red"), run("c1", "乙", "black"), run("c2", "方", "green")])], kind)
+    maps = spark.createDataFrame([("x", 0, 0, "High", 0.9)], "pair string, b_idx int, c_idx int, confidence string, score double")
+    spans = maps.select("pair", "b_idx", "c_idx", diff.diff_spans(F.lit("😀😀甲方"), F.lit("😀😀乙方")).alias("spans"))
+    items, notes = restore.run_plan(maps, base, cur, spans, {"Color": "color"})
+    assert [(r.b_node, r.c_node) for r in items.collect()] == [("b1", "c1")] and notes.count() == 0
+    assert [(r.start, r.stop) for r in restore.run_ranges(base).orderBy("k").collect()] == [(0, 4), (4, 5), (5, 6)]

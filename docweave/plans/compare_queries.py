@@ -237,14 +237,40 @@ FROM items LEFT JOIN labels ON labels.doc_id = pair WHERE coalesce(quality, 1) <
 
 
 def template_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the stated query set of templates, those whose id is divisible by 50."""
+    """All documents against the stated query set of templates, those whose id is divisible by 50.
+
+    A document's table is its lines as rows, and the words of the first of them as cells.
+    """
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".docx"))
-    docs = v.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), name.alias("file_name"), F.lit(None).cast("string").alias("title"), F.split("text", "\n").alias("paragraphs"), F.array().cast("array<string>").alias("tables"))
+    lines = F.split("text", "\n")
+    cells = F.array_join(F.transform(F.slice(lines, 1, recommend.TABLE_ROWS), lambda p: F.size(F.split(p, " ")).cast("string")), ",")
+    docs = v.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), name.alias("file_name"), F.lit(None).cast("string").alias("title"), lines.alias("paragraphs"), F.array(F.concat(F.size(lines).cast("string"), F.lit(":"), cells)).alias("tables"))
     templates = docs.where("id % 50 = 0").withColumn("is_current", F.col("id") % 100 == 0)
     found = recommend.recommend(recommend.scored(docs, templates, least=recommend.CANDIDATE))
     return found.where("size(best) > 0").select("doc_id", "kind", F.col("best")[0]["template_id"].alias("template_id"), F.round(F.col("best")[0]["score"], 4).alias("score"), F.size("best").alias("n"))
 
 
+_SET = "(CASE WHEN len(d.{0}) = 0 OR len(t.{0}) = 0 THEN 0.0 ELSE len(list_intersect(d.{0}, t.{0})) / (len(d.{0}) + len(t.{0}) - len(list_intersect(d.{0}, t.{0}))) END)"
+_TEXT = "(CASE WHEN length(d.{0}) < 3 OR length(t.{0}) < 3 THEN CAST(d.{0} = t.{0} AND d.{0} <> '' AS DOUBLE) ELSE " + _SET.format("{0}_set") + " END)"
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, i, 3)))"
+_CLAUSE = r"(regexp_matches(ltrim(p), '^第[^条]{1,12}条') OR (length(ltrim(p)) > 2 AND regexp_matches(ltrim(p), '^\p{Nd}') AND (contains(p, '.') OR contains(p, '、'))))"
+_LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{Nd}}]', '', 'g'))"
+#: Distinct substrings in order of first occurrence: ``list_distinct`` keeps no order, so texts with more than the bound are cut by first places.
+RECOMMEND_SQL = rf"""WITH lines AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT id, list_filter(l, lambda p: p <> '')[1 : {recommend.PARAGRAPHS}] AS p, [len(l) || ':' || array_to_string(list_transform(l[1 : {recommend.TABLE_ROWS}], lambda p: len(string_split(p, ' '))), ',')] AS tables FROM lines),
+named AS (SELECT id, p, tables, len(p) AS n, 'doc' || id AS stem, coalesce(list_filter(p, lambda p: length(p) <= 80 AND NOT {_CLAUSE})[1], 'doc' || id) AS title0, substr({_LETTERS.format("array_to_string(p, ' ')")}, 1, {recommend.BODY}) AS body_text,
+  list_distinct(list_filter(list_transform(list_filter(p, lambda p: {_CLAUSE}), lambda p: substr(regexp_replace({_LETTERS.format("p")}, '\p{{Nd}}+', '0', 'g'), 1, 26)), lambda h: length(h) >= 2)[1 : {recommend.HEADINGS}]) AS headings FROM docs),
+titled AS (SELECT *, {_LETTERS.format("title0")} AS title FROM named),
+grams AS (SELECT id, min(i) AS place, g FROM (SELECT id, unnest(range(1, length(body_text) - 1)) AS i, substr(body_text, i, 3) AS g FROM titled WHERE length(body_text) >= 3) GROUP BY id, g),
+bodies AS (SELECT id, list(g) AS body FROM (SELECT * FROM grams QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) <= {recommend.SHINGLES}) GROUP BY id),
+f AS (SELECT titled.id, tables, n, stem, title, headings, coalesce(body, []) AS body, {_GRAMS.format("stem")} AS stem_set, {_GRAMS.format("title")}[1 : {recommend.TITLE_SHINGLES}] AS title_set FROM titled LEFT JOIN bodies USING (id)),
+pairs AS (SELECT d.id AS doc_id, t.id AS template_id, t.id % 100 = 0 AS is_current, least(1.0, 0.04 * {_TEXT.format("stem")} + 0.07 * {_TEXT.format("title")} + 0.24 * {_SET.format("headings")} + 0.52 * {_SET.format("body")} + 0.08 * {_SET.format("tables")}
+  + 0.05 * CASE WHEN d.n = 0 OR t.n = 0 THEN 0.0 ELSE least(d.n, t.n) / greatest(d.n, t.n) END + CASE WHEN t.id % 100 = 0 THEN 0.03 ELSE 0.0 END) AS score FROM f d JOIN f t ON t.id % 50 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, is_current DESC, template_id) AS rank FROM pairs WHERE score >= {recommend.CANDIDATE}),
+best AS (SELECT doc_id, max(score) AS first, max(score) FILTER (rank = 2) AS second, least(count(*), 3) AS n, any_value(template_id) FILTER (rank = 1) AS template_id FROM top GROUP BY 1)
+SELECT doc_id, CASE WHEN first < {recommend.UNIQUE} AND n = 1 THEN 'None' WHEN first >= {recommend.UNIQUE} AND (n = 1 OR first - second >= {recommend.LEAD}) THEN 'Unique' ELSE 'Multiple' END AS kind, template_id, round(first, 4) AS score, CAST(n AS INT) AS n FROM best"""
+
+
 def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     state = F.when(F.col("o_orderstatus") == "F", "Confirmed").when(F.col("o_orderstatus") == "P", "Ignored").otherwise("Unresolved")
@@ -282,5 +308,5 @@ QUERIES = {
     "review_filter": (review_filter, REVIEW_SQL),
     "review_counts": (review_counts, REVIEW_COUNTS_SQL),
     "latest_review_states": (latest_review_states, LATEST_SQL),
-    "template_recommendation": (template_recommendation, None),
+    "template_recommendation": (template_recommendation, RECOMMEND_SQL),
 }

@@ -239,3 +239,31 @@ def test_size_bound_loses_no_candidate(spark, sf_dir):
         whole = {tuple(r) for r in recommend.scored(docs, templates).where("score >= 0.6").collect()}
         assert {tuple(r) for r in recommend.scored(docs, templates, least=0.6).where("score >= 0.6").collect()} == whole and len(whole) >= 10
         recommend.BROADCAST_BYTES = bound
+
+
+def test_search_equals_all_pairs(spark, monkeypatch):
+    """The search over packs and tiles finds the same pairs and scores as comparing all, for random features of all kinds."""
+    rnd = random.Random(5)
+    words = ["alpha", "beta", "第一条 交付", "2. 验收", "gamma delta", "x", "", "付款期限"]
+    rows = []
+    for k in range(160):
+        base = rows[rnd.randrange(len(rows))][3] if rows and rnd.random() < 0.6 else None
+        text = [rnd.choice(words) + str(rnd.randrange(30)) * rnd.randrange(4) for _ in range(rnd.choice([0, 1, 4, 30]))] if not base else [p for p in base if rnd.random() < 0.93] + [rnd.choice(words)]
+        rows.append((k, rnd.choice(["a.docx", f"f{k % 5}.docx", ".docx"]), rnd.choice([None, " ", "Title", f"T{k % 3}"]), text, rnd.choice([[], ["3:2,2"], ["3:2,2", "1:1"]])))
+    rows.append((900, "n.docx", None, None, None))
+    docs = spark.createDataFrame(rows, "id long, file_name string, title string, paragraphs array<string>, tables array<string>")
+    templates = docs.where("id % 3 = 0").withColumn("is_current", F.col("id") % 2 == 0)
+    for least in (0.55, recommend.CANDIDATE, 0.9):
+        take = lambda df: sorted((r.doc_id, r.template_id, r.is_current, round(r.score, 9)) for r in df.where(F.col("score") >= least).collect())  # noqa: B023, E731
+        whole = take(recommend.scored(docs, templates))
+        monkeypatch.setattr(recommend, "PACK_ROWS", 7)
+        assert take(recommend.scored(docs, templates, least=least)) == whole and len(whole) >= 25
+    with pytest.raises(ValueError, match="alike"):
+        recommend.search(docs, templates, 0.5)
+
+
+def test_signatures_of_parsed_tables(spark):
+    kind = "array<struct<cells:array<struct<row:int,col:int>>>>"
+    tables = [{"cells": [(0, 0), (0, 1), (1, 0)]}, {"cells": []}, {"cells": [(r, 0) for r in range(40)]}]
+    got = spark.createDataFrame([(tables,)], f"t {kind}").select(recommend.signatures(F.col("t")).alias("s")).head().s
+    assert got == ["2:2,1", "0:", "40:" + ",".join(["1"] * 30)]

@@ -32,6 +32,8 @@ from docweave.llm.components import connected_components
 
 _U = np.uint64
 SHINGLE_WORDS, BANDS, BAND_ROWS = 5, 40, 5
+#: What tells sets apart: their size and two sums of hashes.
+SET = ("n_shingles", "set_a", "set_b")
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +110,8 @@ def _profile(bands: int, band_rows: int):
                 keys = mix(keys + np.arange(1, bands + 1, dtype=_U)[None, :] * _U(0x8EBC6AF09C88C6E3))
                 keys = keys[size > 0].reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(size, pa.int64()), pa.array(one), pa.array(two), list_column(keys, np.where(size > 0, bands, 0), pa.int64())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(size, pa.int64()), pa.array(one), pa.array(two), list_column(keys, np.where(size > 0, bands, 0), pa.int64())],
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -158,7 +160,7 @@ def _prefix_buckets(state: DataFrame, texts: DataFrame, percent: int) -> DataFra
     """
     several = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = stored(state.join(several, "key").select("id", "n", "component").distinct(), "several")
-    own = stored(texts.join(left.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidied(_shingles), "id long, shingle long"), "shingles")
+    own = stored(texts.join(left.select("id"), "id", "left_semi").select("id", "text").mapInArrow(tidied(_shingles), "id long, shingle long"), "shingles")
     count = own.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("c"))
     alone = count.where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
     prefix = F.expr(f"n - ceil({percent} * n / 100) + 1 - coalesce(u, 0)").cast("int")
@@ -178,20 +180,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, band
     all buckets with probability below 1e-10, at 0.8 with 1.2e-7.
 
     Null or empty texts and texts without words have no set and are linked with nothing.
-    A null id gives component_id null and kept false, and is linked with nothing. Repeated
-    rows of one id are one node: each returns that node's component. Other columns are not
-    read, so they may have any name. An empty table gives an empty result.
+    A null id gives component_id null and kept false, and is linked with nothing. Rows of one
+    id are one document, whatever their texts: what is linked with one of its texts is linked
+    with it. Other columns are not read, so they may have any name. An empty table gives an
+    empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(source.mapInArrow(tidied(_profile(bands, band_rows)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "minhash")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    profile = stored(source.mapInArrow(tidied(_profile(bands, band_rows)), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "minhash")
     real = profile.where("doc_id is not null and n_shingles > 0")
-    classes = stored(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    # The nodes are classes of equal sets; a document with several sets is in several classes, which are linked at the end.
+    made = real.groupBy(*SET).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
+    classes = stored(made.select(*SET, "least.*", "bands", F.monotonically_increasing_id().alias("id")), "classes")
     spread = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     buckets = stored(spread.join(shared, "key"), "buckets")
     candidates = buckets.select("id").distinct()
-    texts = stored(source.where("doc_id is not null").join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    # A doc_id that several different texts share has one class per text; they are one node, and each pair is judged by one text of it.
+    sample = classes.join(candidates, "id", "left_semi").select("id", "doc_id", "text_hash")
+    texts = stored(source.join(sample, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "id").agg(F.min("text").alias("text")).select("id", "text"), "texts")
     component = candidates.select("id", F.col("id").alias("component"))
     zero = F.lit(0).cast("long")
     open_buckets = buckets.withColumns({"u": zero, "place": zero})
@@ -221,14 +226,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, band
             f"component <> q.component and 100 * least(n, q.n) >= {percent} * greatest(n, q.n) and 100 * {both} >= {percent} * (n + q.n - {both})"
             f" and (100 + {percent}) * least(n - place, q.n - q.place) >= {percent} * (n + q.n)"
         ).select(F.col("q.id").alias("pivot"), "id").distinct()
-        loaded = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("text_b")), "id").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_a")), "pivot")
+        loaded = pairs.join(texts.select("id", F.col("text").alias("text_b")), "id").join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("text_a")), "pivot")
         links = stored(loaded.select("pivot", "id", "text_a", "text_b").mapInArrow(tidied(_confirm(percent)), "a long, b long"), "links")
         named = links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
         merged = connected_components(named.select("ca", "cb"))
         component = stored(component.join(merged.select(F.col("node").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
         if step != "rest":
             open_buckets = state.where("not is_pivot").drop("q", "is_pivot", "component")
-    named = classes.select("n_shingles", "set_a", "set_b", "id").join(component, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
-    out = profile.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")
+    found = stored(classes.select(*SET, "id", "doc_id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")), "found")
+    # Documents with several sets bring the components of these together.
+    several = stored(real.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("low"), F.max(F.struct(*SET)).alias("high")).where("low <> high").select("doc_id"), "several-sets")
+    if several.limit(1).count():
+        shared = real.join(several, "doc_id", "left_semi").select("doc_id", *SET).distinct().join(found.select(*SET, "component"), list(SET)).select("doc_id", "component")
+        merged = connected_components(shared.groupBy("doc_id").agg(F.min("component").alias("first")).join(shared, "doc_id").select("first", "component"))
+        found = stored(found.join(merged.select(F.col("node").alias("component"), "root"), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), "found")
+    # A class of its own names itself; for the others the smallest document of their component is looked up.
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    named = found.join(least, "component", "left").select(*SET, F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = profile.select("doc_id", *SET).join(named, list(SET), "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(component_id == F.col("doc_id"), F.lit(False)).alias("kept"))

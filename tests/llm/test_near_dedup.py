@@ -57,6 +57,21 @@ def test_against_all_pairs(spark):
         assert got == brute(rows, percent)
 
 
+def test_a_document_with_several_texts_is_one_node(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other words"), (4, "quite other words")]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 80) and {(d, c) for d, _, c, _ in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    rng = random.Random(8)
+    rows = []
+    for _ in range(160):
+        words = rows[rng.randrange(len(rows))][1].split() if rows and rng.random() < 0.6 else [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 20, 60]))]
+        words = [w if rng.random() < 0.99 else "new" for w in words]
+        rows.append((rng.randrange(70), " ".join(words)))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows, 80)
+
+
 def test_edges(spark):
     rows = [(None, "a b c", 1), (1, "a b c", 2), (1, "a b c", 3), (2, "x " * 30000, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")

@@ -11,6 +11,9 @@ from docweave.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Queries without rows on these tables, which hold no such case; others test what they do.
+EMPTY = {"change_groups"}
+
 
 def plain(v):
     if isinstance(v, float):
@@ -44,7 +47,8 @@ def test_query_agrees_with_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, sf_dir, name):
-    assert catalogue.queries()[name](spark, sf_dir).count() >= 0
+    found = catalogue.queries()[name](spark, sf_dir).count()
+    assert found > 0 or name in EMPTY
 
 
 def test_entry(spark):

@@ -63,7 +63,7 @@ def compare(base: DataFrame, cur: DataFrame) -> Comparison:
 
 def snapshot_paragraphs(snapshots: DataFrame) -> DataFrame:
     rows = snapshots.select("pair", F.explode("paragraphs").alias("p"))
-    return rows.select("pair", "p.idx", "p.node", "p.text", tx.normalize(F.col("p.text")).alias("norm"), "p.runs", "p.format")
+    return rows.select("pair", "p.idx", "p.node", "p.text", tx.normalize(F.col("p.text")).alias("norm"), "p.style", F.col("p.numbering.level_index").alias("num_level"), F.col("p.numbering.level_text").alias("num_text"), F.col("p.numbering.number_format").alias("num_format"), "p.runs", "p.format")
 
 
 def compare_snapshots(base: DataFrame, cur: DataFrame) -> Comparison:
@@ -75,7 +75,7 @@ def compare_snapshots(base: DataFrame, cur: DataFrame) -> Comparison:
     key = lambda df: df.withColumn("pair", F.col("pair").cast("string"))
     base, cur = key(base), key(cur)
     b, c = stored(snapshot_paragraphs(base), "base"), stored(snapshot_paragraphs(cur), "current")
-    text = ("pair", "idx", "node", "text", "norm")
+    text = ("pair", "idx", "node", "text", "norm", "style", "num_level", "num_text", "num_format")
     found = compare(b.select(*text), c.select(*text))
     tables = lambda df: df.select("pair", F.explode("tables").alias("t")).select("pair", "t.table", "t.node", "t.format", "t.cells")
     cells, _, placed = changes.table_changes(tables(base), tables(cur))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from docweave.plans import audit_queries, commit_queries, compare_queries, document_queries, file_queries, history_queries, store_queries, versions, working_copy_queries
+from docweave.plans import audit_queries, commit_queries, compare_queries, document_queries, file_queries, history_queries, package_queries, store_queries, versions, working_copy_queries
 
-ALL = compare_queries.QUERIES | store_queries.QUERIES | document_queries.QUERIES | history_queries.QUERIES | working_copy_queries.QUERIES | commit_queries.QUERIES | audit_queries.QUERIES | file_queries.QUERIES
+ALL = compare_queries.QUERIES | store_queries.QUERIES | document_queries.QUERIES | history_queries.QUERIES | working_copy_queries.QUERIES | commit_queries.QUERIES | audit_queries.QUERIES | file_queries.QUERIES | package_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

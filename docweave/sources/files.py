@@ -13,9 +13,10 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Kinds of files in a data folder, and the names that tell them.
+# Kinds of files in a data folder.
 KINDS = ("Database", "WorkingCopy", "Backup", "Cache", "Logs", "Temp", "Other")
-DATABASE = ("finalcheck.db", "finalcheck.db-wal", "finalcheck.db-shm")
+#: The database's file unless another is named; its log and index stand beside it.
+DATABASE = "store.db"
 
 
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -27,13 +28,13 @@ def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return found.withColumn("root", below).select(path.alias("path"), "length", *(["content"] if content else []))
 
 
-def kind(path: Column) -> Column:
+def kind(path: Column, database: str = DATABASE) -> Column:
     """The kind of a file by its path below the data folder."""
     parts = F.split(path, "/")
     top, leaf, deep = parts[0], F.element_at(parts, -1), F.size(parts) > 1
     working = deep & (top == "WorkingCopies")
     return (
-        F.when(path.isin(*DATABASE), "Database")
+        F.when(path.isin(database, f"{database}-wal", f"{database}-shm"), "Database")
         .when(deep & (top == "Backups"), "Backup")
         .when(deep & top.isin("Cache", "Logs", "Temp"), top)
         .when(working & (leaf == "restored.docx"), "WorkingCopy")
@@ -43,10 +44,10 @@ def kind(path: Column) -> Column:
     )
 
 
-def usage(files: DataFrame, originals: DataFrame | None = None) -> DataFrame:
+def usage(files: DataFrame, originals: DataFrame | None = None, database: str = DATABASE) -> DataFrame:
     """kind, files and bytes of every kind, those without files too; ``originals`` (path) are left out."""
     rows = files if originals is None else files.join(originals.select("path"), "path", "left_anti")
-    found = rows.groupBy(kind(F.col("path")).alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    found = rows.groupBy(kind(F.col("path"), database).alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     every = files.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
     return every.join(found, "kind", "left").select("kind", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 

@@ -4,7 +4,7 @@ from docweave.sources import files
 from pyspark.sql import functions as F
 
 FILES = {
-    "finalcheck.db": b"12345", "finalcheck.db-wal": b"1", "Backups/b.bin": b"12", "Cache/c/d.bin": b"123", "Logs/l.txt": b"1234", "Temp/t": b"", "Temp": None, "note.txt": b"1",
+    "store.db": b"12345", "store.db-wal": b"1", "Backups/b.bin": b"12", "Cache/c/d.bin": b"123", "Logs/l.txt": b"1234", "Temp/t": b"", "Temp": None, "note.txt": b"1",
     "WorkingCopies/v1/restored.docx": b"1234567", "WorkingCopies/v1/previous-1.docx": b"12", "WorkingCopies/v1/candidate-1.docx": b"1", "WorkingCopies/v1/operation.lock": b"", "Cache2/x": b"11",
 }
 

@@ -10,7 +10,12 @@ granted whole, large groups first, up to the shard's quota; who is refused asks
 elsewhere. Only a group larger than every remaining room is cut: it fills the roomiest shard
 and waits with the rest. Movement: of a cut group the members in its smallest cell move to
 the shard with most of its members that has room, round by round, as long as the number of
-cut edges falls. Documents without links then fill what the quotas leave.
+cut edges falls. Exchange: where shards are full, a cell of a cut group goes to another of
+its shards against rows of that shard: a cell of an uncut group, part of one, or two of them,
+or together with an uncut group's cell of its own shard against a larger one. Partners are
+looked up by size in a histogram of the shards' cells, with one join for each form, and the
+best exchange of a round is made as long as the number of cut edges falls. Documents without
+links then fill what the quotas leave.
 
 Law ``rows``: shard sizes in rows differ by one at most. Everything is DataFrame
 operations; running totals are taken within buckets and carried by a table of bucket totals,
@@ -117,13 +122,79 @@ def _moved(cells: DataFrame, room: dict[int, int]) -> tuple[DataFrame, list[floa
     return cells, cut
 
 
+def _split(cells: DataFrame) -> DataFrame:
+    """The cells of the groups that lie in several shards; at most two for each shard, as a cut fills a shard."""
+    cut = cells.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1")
+    return cells.join(cut.select(*GROUP), list(GROUP), "left_semi")
+
+
+def _move(ga, gb, source, shard, number):
+    return F.struct(ga.alias("ga"), gb.alias("gb"), source.cast("int").alias("source"), shard.cast("int").alias("shard"), number.cast("long").alias("number"))
+
+
+def _exchanges(cells: DataFrame, room: dict[int, int], quota: dict[int, int]) -> DataFrame:
+    """gain (links no longer cut), and the moves that make it, of exchanges that bring two cells of a group together.
+
+    ``low`` to ``high`` are the numbers of rows that may come back for the ``x`` that go.
+    """
+    split = stored(_split(cells), "shard-split")
+    at = lambda table, shard: F.element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v))), shard).cast("long")
+    wish = split.select(*GROUP, F.col("shard").alias("source"), F.col("number").alias("x")).join(split.select(*GROUP, "shard", F.col("number").alias("there")), list(GROUP))
+    wish = wish.where((F.col("source") != F.col("shard")) & (F.col("x") + F.col("there") <= at(quota, F.col("shard"))))
+    wish = wish.withColumns({"low": F.col("x") - at(room, F.col("shard")), "high": F.col("x") + at(room, F.col("source"))})
+    # Sizes of the uncut groups in each shard, with two groups of each size.
+    pair = F.struct(*GROUP)
+    sizes = stored(cells.join(split.select(*GROUP).distinct(), list(GROUP), "left_anti").groupBy("shard", "number").agg(F.min(pair).alias("one"), F.max(pair).alias("two")), "shard-sizes")
+    own = _move(F.col("ga"), F.col("gb"), F.col("source"), F.col("shard"), F.col("x"))
+    back = lambda who, number: _move(F.col(f"{who}.ga"), F.col(f"{who}.gb"), F.col("shard"), F.col("source"), number)
+    gain = F.col("x") * F.col("there")
+    free = wish.where("low <= 0").select(gain.alias("gain"), F.array(own).alias("moves"))
+    # One group, whole or in part.
+    single = wish.join(sizes, "shard").withColumn("y", F.explode(F.array_distinct(F.array(F.greatest("low", F.lit(1)), F.least("high", "number")))))
+    single = single.where("y >= 1 and y >= low and y <= high and y <= number").select((gain - F.col("y") * (F.col("number") - F.col("y"))).alias("gain"), F.array(own, back("one", F.col("y"))).alias("moves"))
+    exact = wish.withColumn("y", F.explode(F.array_distinct(F.array("low", "x", "high")))).where("y > 0")
+    # Two whole groups.
+    second = sizes.select("shard", F.col("number").alias("other"), F.col("one").alias("third"), F.col("two").alias("fourth"))
+    double = exact.join(sizes, "shard").withColumn("other", F.col("y") - F.col("number")).where("other >= number").join(second, ["shard", "other"])
+    double = double.withColumn("partner", F.when(F.col("other") == F.col("number"), F.col("fourth")).otherwise(F.col("third"))).where("one <> partner")
+    double = double.select(gain.alias("gain"), F.array(own, back("one", F.col("number")), back("partner", F.col("other"))).alias("moves"))
+    # A whole group goes along, a larger one comes back.
+    along = sizes.select(F.col("shard").alias("source"), F.col("number").alias("more"), F.col("one").alias("with"))
+    larger = exact.join(along, "source").withColumn("number", F.col("more") + F.col("y")).join(sizes, ["shard", "number"])
+    beside = _move(F.col("with.ga"), F.col("with.gb"), F.col("source"), F.col("shard"), F.col("more"))
+    larger = larger.select(gain.alias("gain"), F.array(own, beside, back("one", F.col("number"))).alias("moves"))
+    return free.unionByName(single).unionByName(double).unionByName(larger).where("gain > 0")
+
+
+def _exchanged(cells: DataFrame, room: dict[int, int], quota: dict[int, int], cut: list[float]) -> DataFrame:
+    """The cells after exchanges; ``room`` follows, and ``cut`` gets the number of cut edges after each."""
+    spark = cells.sparkSession
+    while cut[-1]:
+        best = _exchanges(cells, room, quota).orderBy(F.desc("gain"), F.size("moves"), "moves").limit(1).collect()  # one row of three moves at most
+        if not best:
+            break
+        moves = [m.asDict() for m in best[0].moves]
+        listed = F.array(*(F.struct(F.lit(m["ga"]).alias("ga"), F.lit(m["gb"]).alias("gb"), F.lit(k).alias("shard"), F.lit(n).cast("long").alias("number")) for m in moves for k, n in ((m["shard"], m["number"]), (m["source"], -m["number"]))))
+        changed = spark.range(1).select(F.explode(listed).alias("cell")).select("cell.*")
+        after = stored(cells.unionByName(changed).groupBy(*GROUP, "shard").agg(F.sum("number").alias("number")).where("number > 0"), "shard-exchanged")
+        edges = _edges(after)
+        if edges >= cut[-1]:
+            break
+        for m in moves:
+            room[m["shard"]] -= m["number"]
+            room[m["source"]] += m["number"]
+        cells = after
+        cut.append(edges)
+    return cells
+
+
 def balanced_shards(docs: DataFrame, shards: int = 16, trace: list | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text plus one; a null text counts as none, with CRC 0, and groups
     with the empty text. Null and repeated ids are placed like any row. grown_shard is null
     under the law ``rows``. No rows: no rows. Other columns are not read. ``trace`` receives
-    the numbers of cut edges before movement and after each of its rounds.
+    the numbers of cut edges before movement and after each of its rounds and each exchange.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -154,6 +225,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, trace: list | None = None
     single = groups.where("number = 1")
     if settled is not None:
         settled, cut = _moved(settled, room)
+        settled = _exchanged(settled, room, quota, cut)
         if trace is not None:
             trace.extend(cut)
     rest = running(single, [], "number", list(GROUP))

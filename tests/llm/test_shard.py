@@ -4,7 +4,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-from docweave.llm.shard import _moved, balanced_shards
+import pytest
+from docweave.llm.shard import _edges, _exchanged, _moved, balanced_shards
 
 
 def rows_of(spark, rows, **more):
@@ -92,6 +93,22 @@ def test_against_exhaustive_search(spark):
         assert got == best, (sizes, single, shards)
 
 
+TIGHT = [((5, 5, 4, 3, 3), 2), ((5, 4, 4, 3), 2), ((7, 5, 4, 4), 2), ((6, 5, 4), 3), ((4, 4, 4), 2), ((8, 3, 3, 2), 2)]
+
+
+@pytest.mark.parametrize(("sizes", "shards"), TIGHT)
+def test_full_shards_exchange(spark, sizes, shards):
+    """No single rows, so no free room; the last four tables have to cut something."""
+    rows = [(100 * g + i, f"tight {sizes} {g}") for g, n in enumerate(sizes) for i in range(n)]
+    trace = []
+    out = rows_of(spark, rows, shards=shards, trace=trace)
+    law_holds(out, rows, shards)
+    cells = [[sum(r.shard == s and r.doc_id // 100 == g for r in out) for s in range(shards)] for g in range(len(sizes))]
+    total = len(rows)
+    assert edges(sizes, cells) == least_cut(sizes, [total // shards + (k < total % shards) for k in range(shards)]) == trace[-1]
+    assert all(x > y for x, y in zip(trace, trace[1:], strict=False))
+
+
 def test_files_do_not_matter_and_cuts_fall(spark):
     rows = [(i, f"text {i % 7}") for i in range(120)] + [(500 + i, f"own {i}") for i in range(11)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -109,3 +126,21 @@ def test_movement_gathers_cut_groups(spark):
     got = sorted(tuple(r) for r in after.select("ga", "shard", "number").collect())
     assert got == [(1, 0, 8), (2, 2, 8)] and cut == [33.0, *cut[1:]] and cut[-1] == 0 and room == {0: 0, 1: 6, 2: 1}
     assert all(x > y for x, y in zip(cut, cut[1:], strict=False))
+
+
+def test_exchange_forms(spark):
+    """Full shards: a whole group, part of one, two groups, and a group that goes along; room stays as it was."""
+    cells = lambda *rows: spark.createDataFrame([(g, g, s, n) for g, s, n in rows], "ga long, gb long, shard int, number long")
+    for rows, least in (
+        ([(1, 0, 2), (1, 1, 3), (2, 1, 2)], 0),
+        ([(1, 0, 3), (2, 0, 7), (1, 1, 2), (3, 1, 4), (4, 1, 4)], 3),
+        ([(1, 0, 4), (1, 1, 6), (2, 1, 1), (3, 1, 3)], 0),
+        ([(1, 0, 1), (2, 0, 4), (3, 0, 5), (1, 1, 2), (4, 1, 5), (5, 1, 3)], 0),
+    ):
+        full = {s: sum(r[2] for r in rows if r[1] == s) for s in (0, 1)}
+        room, cut = {0: 0, 1: 0}, [_edges(cells(*rows))]
+        after = _exchanged(cells(*rows), room, full, cut)
+        held = {r.shard: r.n for r in after.groupBy("shard").sum("number").withColumnRenamed("sum(number)", "n").collect()}
+        assert cut[-1] == least and len(cut) > 1 and room == {0: 0, 1: 0} and held == full
+        whole = {r.ga: r.n for r in after.groupBy("ga").sum("number").withColumnRenamed("sum(number)", "n").collect()}
+        assert whole == {g: sum(r[2] for r in rows if r[0] == g) for g in {r[0] for r in rows}}

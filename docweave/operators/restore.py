@@ -138,8 +138,15 @@ def plan_status(items: DataFrame, notes: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when((F.col("needs_review") > 0) | (F.col("diagnostics") > 0), "NeedsReview").when(F.col("items") == 0, "Empty").otherwise("Ready"))
 
 
-def select_scope(items: DataFrame, category: str | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """All items, those of a category (Table includes Cell), or those of given ids; an unknown id is an error."""
+def select_scope(items: DataFrame, category: str | None = None, ids: DataFrame | None = None, eligible_only: bool = False) -> DataFrame:
+    """All items, those of a category (Table includes Cell), or those of given ids; an unknown id is an error.
+
+    ``eligible_only`` leaves out what needs a review, as choosing a category at once does; ids
+    named one by one that need a review are left out then, and are no error.
+    """
+    if eligible_only:
+        chosen = select_scope(items, category, ids)
+        return chosen.where("eligibility = 'Eligible'")
     if ids is not None:
         if ids.join(items, "item_id", "left_anti").limit(1).count():
             raise ValueError("unknown restore item")

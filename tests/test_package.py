@@ -7,6 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pytest
+from docweave.operators import restore, review
 from docweave.sources import docx, docx_build
 from pyspark.sql import functions as F
 
@@ -102,3 +103,27 @@ def verdicts(spark):
 
 def test_manifests_are_held_against_each_other(verdicts):
     assert verdicts == {"lost": "Missing", "new": "Unexpected", "cut": "IdentityMismatch", "other": "IdentityMismatch", "big": "TooLarge", "old": "Invalid", "counted": "CountMismatch"}
+
+
+def test_dates_are_utc(spark):
+    cases = {"2024-05-01T10:00:00Z": "2024-05-01 10:00:00", "2024-05-01T10:00:00+02:00": "2024-05-01 08:00:00", "2024-05-01T10:00:00": "2024-05-01 10:00:00", " 2024-05-01 ": "2024-05-01 00:00:00", "soon": None, "": None, None: None}
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c string").select("k", docx.utc(F.col("c")).cast("string").alias("t"))
+    assert [r.t for r in rows.orderBy("k").collect()] == list(cases.values())
+    s = docx.dated(docx.parse_files(spark.createDataFrame([("w", bytearray(docx_build.document(WHOLE)))], "path string, content binary").withColumn("package", docx.sniff()))).head()
+    assert {str(c.date_utc) for c in s.comments} == {"2024-05-01 00:00:00"} and s.created_utc is None and s.revisions[0].date_utc is None
+
+
+def test_review_types_and_fields(spark):
+    kind = "pair string, change_id string, kind string, b_text string, c_text string, spans array<string>, format string, revision_ids array<string>, comment_ids array<string>, c_location string, comment_details string"
+    rows = [("x", k, kind, "Alpha", "", [], None, [], [], place, note) for k, kind, place, note in (("1", "ParagraphInsert", "第 5 段", ""), ("2", "NativeRevision", None, None), ("3", "Comment", None, "Ann · \nsee Beta"))]
+    items = spark.createDataFrame(rows, kind)
+    states = spark.createDataFrame([], "pair string, change_id string, state string")
+    found = lambda **more: sorted(r.change_id for r in review.review_list(items, states, **more).collect())
+    assert (found(type_="Text"), found(type_="Revision"), found(type_="Comment")) == (["1"], ["2"], ["3"])
+    assert (found(search=" beta "), found(search="第 5"), found(search="ALPHA"), found(search="  "), found(search="b%")) == (["3"], ["1"], ["1", "2", "3"], ["1", "2", "3"], [])
+
+
+def test_only_eligible_items_are_selected(spark):
+    items = spark.createDataFrame([("a", "Cell", "Eligible"), ("b", "Table", "NeedsReview"), ("c", "Paragraph", "Eligible")], "item_id string, category string, eligibility string")
+    ids = lambda **more: sorted(r.item_id for r in restore.select_scope(items, eligible_only=True, **more).collect())
+    assert ids() == ["a", "c"] and ids(category="Table") == ["a"] and ids(ids=items.where("item_id <> 'a'").select("item_id")) == ["c"]

@@ -98,7 +98,7 @@ TIGHT = [((5, 5, 4, 3, 3), 2), ((5, 4, 4, 3), 2), ((7, 5, 4, 4), 2), ((6, 5, 4),
 
 @pytest.mark.parametrize(("sizes", "shards"), TIGHT)
 def test_full_shards_exchange(spark, sizes, shards):
-    """No single rows, so no free room; the last four tables have to cut something."""
+    """No single rows, so no free room; three of the tables have to cut something."""
     rows = [(100 * g + i, f"tight {sizes} {g}") for g, n in enumerate(sizes) for i in range(n)]
     trace = []
     out = rows_of(spark, rows, shards=shards, trace=trace)

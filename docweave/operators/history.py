@@ -23,6 +23,8 @@ ITEM = f"struct<change_id:string,kind:string,b_node:string,c_node:string,b_text:
 RESULT = f"{RESULT_FIELD} int, metadata struct<baselineSnapshotId:string,currentSnapshotId:string,algorithmVersion:string>, changes array<{ITEM}>"
 # Names of projects, options offered, labels.
 UNNAMED, MOST_NAME, MOST_OPTIONS = "未命名合同", 100, 100
+#: Projects and versions of one template that meet in one cell of their product, about.
+CELL = 1_000
 COUNTERPARTY_ADVICE, VERSION_ADVICE, NO_ADVICE = "建议与当前我方基准比较，不与上一版对方版本比较。", "可与已有项目版本比较；基准文件不代表我方角色。", "请明确选择基准版本。"
 DISABLED_TEMPLATE, NO_TEMPLATE_VERSION = "已绑定模板已停用；请选择其他基准，未自动切换。", "已绑定模板无可用的完整当前版本；请选择其他基准，未自动切换。"
 
@@ -152,21 +154,32 @@ def set_baseline(projects: DataFrame, versions: DataFrame, wanted: DataFrame, no
     return out, asked.where(~good).select("project_id", "version_id", F.lit("NotAnOwnVersion").alias("reason"))
 
 
-def _bound(asked: DataFrame, templates: DataFrame, template_versions: DataFrame) -> DataFrame:
-    """The versions of the bound template of each question, with ``usable``: in use, and its current version complete."""
-    own = template_versions.select(F.col("template_id").alias("bound_template_id"), F.col("id").alias("version_id"), "version", "is_current", "parse_status")
+def _in_use(templates: DataFrame, template_versions: DataFrame) -> DataFrame:
+    """bound_template_id, template_name, in_use, and ``usable``: in use, and its current version complete."""
     kept = templates.select(F.col("id").alias("bound_template_id"), F.col("name").alias("template_name"), (F.col("is_enabled") & ~F.col("is_deleted")).alias("in_use"))
-    whole = own.groupBy("bound_template_id").agg(F.bool_or(F.col("is_current") & (F.col("parse_status") == "Complete")).alias("whole"))
-    rows = asked.where("bound_template_id is not null").join(kept, "bound_template_id").join(whole, "bound_template_id", "left").join(own, "bound_template_id", "left")
-    return rows.withColumn("usable", F.col("in_use") & F.coalesce("whole", F.lit(False)))
+    whole = template_versions.groupBy(F.col("template_id").alias("bound_template_id")).agg(F.bool_or(F.col("is_current") & (F.col("parse_status") == "Complete")).alias("whole"))
+    return kept.join(whole, "bound_template_id", "left").withColumn("usable", F.col("in_use") & F.coalesce("whole", F.lit(False))).drop("whole")
 
 
-def choices(asked: DataFrame, projects: DataFrame, versions: DataFrame, templates: DataFrame, template_versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _each_with_each(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """The inner join on a key that many rows of both sides share, dealt in cells of some CELL rows of each side."""
+    cells = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / CELL).alias(name))
+    sizes = cells(left, "_ln").join(cells(right, "_rn"), key)
+    dealt = lambda df, id_, own, other: df.join(sizes, key).select(*df.columns, F.pmod(F.xxhash64(id_), F.col(f"_{own}n")).alias(f"_{own}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}n") - 1)).alias(f"_{other}"))
+    return dealt(left, left_id, "l", "r").join(dealt(right, right_id, "r", "l").hint("merge"), [key, "_l", "_r"]).drop("_l", "_r")
+
+
+def choices(asked: DataFrame, projects: DataFrame, versions: DataFrame, templates: DataFrame, template_versions: DataFrame, wanted: DataFrame | None = None, foremost: bool = False) -> tuple[DataFrame, DataFrame]:
     """(options, refused) of ``asked`` (project_id, current_id): what a version can be compared with.
 
     Options: project_id, current_id, type, version_id, name, is_current. The project's own
     baseline, the versions of its bound template, and its newest other versions (100 at most
     are offered). Refused: a version of another project, a baseline that is not an own one.
+
+    A template's versions are offered to each of its projects, which is the product of both.
+    ``wanted`` (selections as in ``resolve``) leaves out versions of templates that are not
+    selected; ``foremost`` leaves of each template the smallest current version if it is usable,
+    and of other versions the newest, as ``advice`` looks at no more.
     """
     project = projects.select(F.col("id").alias("project_id"), "baseline_version_id", "bound_template_id")
     v = versions.select(F.col("id").alias("version_id"), F.col("project_id").alias("_owner"), "role", "round_number", "version_number", "file_name")
@@ -178,14 +191,27 @@ def choices(asked: DataFrame, projects: DataFrame, versions: DataFrame, template
     refused, rows = rows.where("reason is not null").select("project_id", "current_id", "reason"), rows.where("reason is null")
     out = ["project_id", "current_id"]
     own = rows.where("baseline_version_id is not null").select(*out, F.lit("Own").alias("type"), F.col("baseline_version_id").alias("version_id"), F.concat(F.format_string("我方 · 第 %d 轮 · ", "_own_round"), "_own_file").alias("name"), F.lit(True).alias("is_current"))
-    bound = _bound(rows.select(*out, "bound_template_id"), templates, template_versions).where("version_id is not null")
     label = F.concat(F.lit("模板 · "), "template_name", F.lit(" · "), "version", F.when(F.col("is_current"), "（当前）").otherwise("（历史）"))
-    from_template = bound.select(*out, F.lit("Template").alias("type"), "version_id", label.alias("name"), (F.col("usable") & F.col("is_current")).alias("is_current"))
+    # Named before they meet their projects, once each.
+    named = template_versions.select(F.col("template_id").alias("bound_template_id"), F.col("id").alias("version_id"), "version", "is_current").where("version_id is not null").join(_in_use(templates, template_versions), "bound_template_id")
+    named = named.select("bound_template_id", "version_id", label.alias("name"), (F.col("usable") & F.col("is_current")).alias("is_current"))
+    bound = rows.where("bound_template_id is not null").select(*out, "bound_template_id")
+    if foremost:
+        first = named.where("is_current").groupBy("bound_template_id").agg(F.min(F.struct("version_id", "name", "is_current")).alias("v")).select("bound_template_id", "v.*")
+        bound = bound.join(first, "bound_template_id")
+    elif wanted is not None:
+        bound = bound.join(wanted.where("type = 'Template'").select(*out, "version_id").distinct(), out).join(named, ["bound_template_id", "version_id"])
+    else:
+        bound = _each_with_each(bound, named, "bound_template_id", "project_id", "version_id")
+    from_template = bound.select(*out, F.lit("Template").alias("type"), "version_id", "name", "is_current")
     # The newest 101 of a project hold the newest 100 others of any version in it: no project's versions meet more often than that.
     newest = v.withColumn("_k", F.row_number().over(Window.partitionBy("_owner").orderBy(F.desc("version_number")))).where(F.col("_k") <= MOST_OPTIONS + 1)
     others = rows.select(*out).join(newest.select(F.col("_owner").alias("project_id"), "version_id", "version_number", "file_name"), "project_id").where("version_id <> current_id")
     place = F.row_number().over(Window.partitionBy(*out).orderBy(F.desc("version_number")))
-    others = others.withColumn("_k", place).where(F.col("_k") <= MOST_OPTIONS)
+    if foremost:
+        others = others.groupBy(*out).agg(F.min(F.struct((-F.coalesce("version_number", F.lit(0))).alias("_newest"), "version_id", "version_number", "file_name")).alias("v")).select(*out, "v.*")
+    else:
+        others = others.withColumn("_k", place).where(F.col("_k") <= MOST_OPTIONS)
     versioned = others.select(*out, F.lit("Version").alias("type"), "version_id", F.concat(F.format_string("V%d · ", "version_number"), "file_name").alias("name"), F.lit(False).alias("is_current"))
     return own.unionByName(from_template).unionByName(versioned), refused
 
@@ -199,7 +225,7 @@ def advice(asked: DataFrame, options: DataFrame, projects: DataFrame, versions:
     out = ["project_id", "current_id"]
     project = projects.select(F.col("id").alias("project_id"), "baseline_version_id", "bound_template_id", "last_type")
     rows = asked.join(project, "project_id").join(versions.select(F.col("id").alias("current_id"), "role"), "current_id")
-    bound = _bound(rows.select(*out, "bound_template_id"), templates, template_versions).groupBy(*out).agg(F.bool_or("usable").alias("usable"), F.bool_or("in_use").alias("in_use"))
+    bound = rows.select(*out, "bound_template_id").join(_in_use(templates, template_versions), "bound_template_id").groupBy(*out).agg(F.bool_or("usable").alias("usable"), F.bool_or("in_use").alias("in_use"))
     ordinal = F.regexp_extract("name", "^V(\\d+) ", 1).try_cast("long")
     fit = F.when(F.col("bound_template_id").isNotNull(), F.when((F.col("type") == "Template") & F.col("is_current"), 0)).when((F.col("type") == F.col("last_type")) & F.col("is_current"), 0).when(F.col("is_current"), F.when(F.col("type") == "Own", 1).otherwise(2)).when(F.col("type") == "Version", 3)
     ranked = options.join(rows.select(*out, "bound_template_id", "last_type"), out).withColumn("fit", fit)

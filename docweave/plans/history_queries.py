@@ -202,7 +202,7 @@ def baseline_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendation, warning and the default choice of every project."""
     made = _projects(spark, sf_dir)
-    options, _ = history.choices(**made)
+    options, _ = history.choices(**made, foremost=True)
     return history.advice(made["asked"], options, *(made[n] for n in ("projects", "versions", "templates", "template_versions")))
 
 
@@ -218,8 +218,8 @@ FROM p JOIN v ON v.id = p.current_id LEFT JOIN t ON t.id = bound LEFT JOIN usabl
 def rematched_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each project selects some part as the template version to compare with; parts of templates out of use are refused."""
     made = _projects(spark, sf_dir)
-    options, _ = history.choices(**made)
     picks = made["asked"].select("project_id", "current_id", F.lit("Template").alias("type"), (F.col("project_id") * 7 % 2000).alias("version_id"))
+    options, _ = history.choices(**made, wanted=picks)
     return history.resolve(picks, options, made["templates"], made["template_versions"])[0].select("project_id", "version_id", "name")
 
 

@@ -19,7 +19,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed as a Word file, scanned and parsed back to paragraphs."""
     packed = docx_build.packages(v.documents(spark, sf_dir), "doc_id", "text").withColumn("package", docx.sniff())
-    rows = docx.parse_files(packed).select(F.col("path").cast("long").alias("doc_id"), "status", F.explode("paragraphs").alias("p"))
+    rows = docx.parse_files(packed, "path string, status string, paragraphs array<struct<idx:int,node:string,text:string>>").select(F.col("path").cast("long").alias("doc_id"), "status", F.explode("paragraphs").alias("p"))
     return rows.select("doc_id", "status", "p.idx", "p.node", F.length("p.text").alias("chars"), F.md5(F.col("p.text").cast("binary")).alias("digest"))
 
 

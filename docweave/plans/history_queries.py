@@ -27,7 +27,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of all version pairs as snapshots parsed from Word packages, each document parsed once."""
     docs = v.documents(spark, sf_dir)
-    parsed = docx.parse_files(docx_build.packages(docs, "doc_id", "text").withColumn("package", docx.sniff()))
+    parsed = docx.parse_files(docx_build.packages(docs, "doc_id", "text").withColumn("package", docx.sniff()), docx.COMPARED)
     parsed = stored(parsed.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "revisions", "comments"), "snapshots")
     pairs = stored(v.version_pairs(v.paragraphs(docs)), "pairs")
     side = lambda c: pairs.select("pair", F.col(c).alias("doc_id")).join(parsed, "doc_id").drop("doc_id")
@@ -62,9 +62,14 @@ SELECT pair, base_doc || '.docx' AS b_name, cur_doc || '.docx' AS c_name, sha256
 FROM pairs JOIN documents b ON b.doc_id = base_doc JOIN documents c ON c.doc_id = cur_doc"""
 
 
+#: What ``preview.blocks`` reads here of a snapshot, whose paragraphs have no formats.
+_SHOWN = "struct<node:string,idx:int,source:int,text:string,format:struct<alignment:string>,runs:array<struct<node:string,text:string>>>"
+PREVIEWED = f"path string, paragraphs array<{_SHOWN}>, tables array<struct<node:string,table:int,source:int,cells:array<struct<row:int,col:int,node:string,text:string,format:struct<grid_span:int>,paragraphs:array<{_SHOWN}>>>>>"
+
+
 def preview_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every document's preview with their labels, and the texts beside each."""
-    parsed = docx.parse_files(docx_build.packages(v.documents(spark, sf_dir), "doc_id", "text").withColumn("package", docx.sniff()))
+    parsed = docx.parse_files(docx_build.packages(v.documents(spark, sf_dir), "doc_id", "text").withColumn("package", docx.sniff()), PREVIEWED)
     shown = preview.blocks(parsed.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables"), "doc_id")
     text = F.get("cells", F.lit(0))["text"]
     near = review.context(shown.withColumn("text", text), ["doc_id"], "position", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import styles
-from docweave.operators import changes, restore
+from docweave.operators import changes, matching, restore
 from docweave.plans import versions as v
 from docweave.sources import docx, docx_build, snapshots
 from docweave.storage import stored
@@ -95,10 +95,10 @@ CODEC_SQL = """SELECT doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'Part
 
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restore plans of all version pairs, with an alignment for long and for short paragraphs."""
-    found = v.comparison(spark, sf_dir)
     base, cur = v.stored_sides(spark, sf_dir)
+    mappings = stored(matching.match(matching.features(base), matching.features(cur)).mappings, "mappings")
     look = lambda df: df.withColumns({"parent": F.lit(None).cast("string"), "style": F.lit(None).cast("string"), "num_level": F.lit(None).cast("int"), "format": F.struct(F.when(F.length("text") > 200, "both").otherwise("left").alias("alignment"))})
-    items, notes = restore.paragraph_plan(found.mappings, look(base), look(cur), {"Alignment": "alignment"})
+    items, notes = restore.paragraph_plan(mappings, look(base), look(cur), {"Alignment": "alignment"})
     return restore.plan_status(stored(items, "items"), notes)
 
 

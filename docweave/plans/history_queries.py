@@ -25,11 +25,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of all version pairs as snapshots parsed from Word packages, each document parsed once."""
+    """Both sides of all version pairs as snapshots parsed from Word packages, each document of a pair parsed once."""
     docs = v.documents(spark, sf_dir)
+    pairs = v.stored_pairs(docs)
+    docs = docs.join(v.roles(pairs).select("doc_id"), "doc_id", "left_semi")
     parsed = docx.parse_files(docx_build.packages(docs, "doc_id", "text").withColumn("package", docx.sniff()), docx.COMPARED)
     parsed = stored(parsed.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "revisions", "comments"), "snapshots")
-    pairs = stored(v.version_pairs(v.paragraphs(docs)), "pairs")
     side = lambda c: pairs.select("pair", F.col(c).alias("doc_id")).join(parsed, "doc_id").drop("doc_id")
     return side("base_doc"), side("cur_doc")
 
@@ -43,13 +44,13 @@ def comparison_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All version pairs compared, saved to the shared folder and loaded back from there."""
     docs = v.documents(spark, sf_dir).where("text is not null")
-    found = v.comparison(spark, sf_dir)
-    pairs = stored(v.version_pairs(v.paragraphs(docs)), "pairs")
+    pairs = v.stored_pairs(docs)
+    found = v.compare(*v.stored_sides(spark, sf_dir, pairs))
     sha = F.sha2(F.col("text").cast("binary"), 256)
     file = F.struct(F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.octet_length("text").cast("long").alias("size"), F.lit(None).cast("string").alias("modified"), sha.alias("sha256"))
     side = lambda s, d: docs.select(F.col("doc_id").alias(d), file.alias(f"{s}_file"), F.col("text").cast("binary").alias(f"{s}_snapshot"), sha.alias(f"{s}_sha256"))
     inputs = pairs.join(side("b", "base_doc"), "base_doc").join(side("c", "cur_doc"), "cur_doc").withColumns({"algorithm": F.lit("1"), "created": F.timestamp_micros(F.lit(0))}).drop("base_doc", "cur_doc")
-    made = history.save(inputs, found.changes, "all")
+    made = history.save(stored(inputs, "inputs"), found.changes, "all")
     saved = history.Saved(*(stored(df, name) for name, df in vars(made).items()))
     loaded, _ = history.load(saved)
     same = F.lower("b_file.sha256") == F.lower("c_file.sha256")

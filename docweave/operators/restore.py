@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import units
+from docweave.storage import stored
 
 # Fixed value: least score of a mapping that restores automatically.
 LEAST_SCORE = 0.8
@@ -45,7 +46,8 @@ def _items(rows: DataFrame, category: str, eligible: Column, fallback: Column) -
 def paragraph_plan(mappings: DataFrame, base: DataFrame, cur: DataFrame, fields: dict[str, str], least: float = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
     """(items, diagnostics) of paragraphs. Sides: pair, parent, idx, node, style, num_level, format."""
     side = lambda df, s: df.select("pair", F.col("idx").alias(f"{s}_idx"), F.struct("parent", "idx", "node", "style", "num_level", "format").alias(s))
-    joined = cur_mapped = side(cur, "c").join(mappings.select("pair", "b_idx", "c_idx", "confidence", "score"), ["pair", "c_idx"], "left").join(side(base, "b"), ["pair", "b_idx"], "left")
+    joined = side(cur, "c").join(mappings.select("pair", "b_idx", "c_idx", "confidence", "score"), ["pair", "c_idx"], "left").join(side(base, "b"), ["pair", "b_idx"], "left")
+    joined = cur_mapped = stored(joined, "aligned")  # items and diagnostics read it twice each
     own = joined.where("b is not null").withColumns({"b_node": F.col("b.node"), "c_node": F.col("c.node"), "current": F.col("c.format"), "target": F.col("b.format"), "properties": differences(F.col("c.format"), F.col("b.format"), fields)})
     items = _items(own, "Paragraph", trusted(least), F.lit(None).cast("string"))
     notes = own.where(~trusted(least)).select("pair", F.col("c.node").alias("node"), F.lit("LowConfidenceMapping").alias("code"))

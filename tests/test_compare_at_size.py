@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from docweave.functions import diff
 from docweave.functions import text as tx
-from docweave.operators import matching
-from docweave.plans import compare_queries, versions
+from docweave.operators import changes, matching, restore
+from docweave.plans import compare_queries, document_queries, history_queries, versions
 from pyspark.sql import functions as F
 
 ALPHABET = [*"aB1.é ñЖ中。、", "  ", "\t", "\r", "\r\n", "\n", "\x0b", "\x1c", "\x85", " ", " ", " ", " ", "　", "㐀", "豈", "①", "ﬁ", "é", "Σ", "İ", "😀", "٣", "_", "-", "ｱﾞ", "²"]
@@ -101,3 +102,44 @@ def test_queries_on_matching_alone_do_not_compare_texts(spark, sf_dir, monkeypat
     monkeypatch.setattr(versions, "compare", lambda *_: pytest.fail("compared whole"))
     for query in (compare_queries.unmatched_paragraphs, compare_queries.moved_paragraphs, compare_queries.review_filter, compare_queries.scroll_links):
         query(spark, sf_dir)
+
+
+def test_only_documents_of_pairs_become_packages(spark, sf_dir, monkeypatch):
+    seen, step = [], history_queries.docx_build.packages
+    monkeypatch.setattr(history_queries.docx_build, "packages", lambda docs, *a: seen.append(docs) or step(docs, *a))
+    history_queries._snapshots(spark, sf_dir)
+    pairs = versions.version_pairs(versions.paragraphs(versions.documents(spark, sf_dir)))
+    assert {r[0] for r in seen[0].select("doc_id").collect()} == {x for r in pairs.collect() for x in (r.base_doc, r.cur_doc)}
+
+
+def test_saved_comparisons_find_pairs_once(spark, sf_dir, monkeypatch):
+    seen, step = [], versions.version_pairs
+    monkeypatch.setattr(versions, "version_pairs", lambda lines: seen.append(lines) or step(lines))
+    history_queries.saved_comparisons(spark, sf_dir)
+    assert len(seen) == 1
+
+
+def test_equal_cells_are_not_compared(spark, sf_dir, monkeypatch):
+    seen, step = [], changes.diff_spans
+    monkeypatch.setattr(changes, "diff_spans", lambda a, b: seen.append((a, b)) or step(a, b))
+    kept = _written(monkeypatch, changes)
+    found = document_queries.table_cell_changes(spark, sf_dir)
+    assert list(kept) == ["tables"] and found.count() > 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    python = next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
+    assert any("Filter" in line and "NOT (_extract_text" in line for line in plan[python + 1 : python + 4])
+
+
+def test_a_restore_plan_aligns_once(spark, sf_dir, monkeypatch):
+    kept = _written(monkeypatch, restore)
+    document_queries.restore_plan(spark, sf_dir)
+    assert list(kept) == ["aligned"]
+
+
+def test_equal_rows_of_a_batch_are_compared_once(monkeypatch):
+    import pyarrow as pa
+
+    seen, step = [], diff.text_diff
+    monkeypatch.setattr(diff, "text_diff", lambda o, n: seen.append((o, n)) or step(o, n))
+    got = diff.diff_spans.func(pa.array(["1", "1", None, "1"]), pa.array(["2", "2", "x", "3"])).to_pylist()
+    assert sorted(seen) == [("1", "2"), ("1", "3")] and got[0] == got[1] == step("1", "2") and got[2] is None and got[3] == step("1", "3")

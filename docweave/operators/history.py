@@ -165,7 +165,11 @@ def _each_with_each(left: DataFrame, right: DataFrame, key: str, left_id: str, r
     """The inner join on a key that many rows of both sides share, dealt in cells of some CELL rows of each side."""
     cells = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / CELL).alias(name))
     sizes = cells(left, "_ln").join(cells(right, "_rn"), key)
-    dealt = lambda df, id_, own, other: df.join(sizes, key).select(*df.columns, F.pmod(F.xxhash64(id_), F.col(f"_{own}n")).alias(f"_{own}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}n") - 1)).alias(f"_{other}"))
+    # Rows that meet are few and their product is not: adaptive execution would put all cells into a few tasks.
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    cell = lambda df, id_, own, other: df.join(sizes, key).select(*df.columns, F.pmod(F.xxhash64(id_), F.col(f"_{own}n")).alias(f"_{own}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}n") - 1)).alias(f"_{other}"))
+    dealt = lambda *side: cell(*side).repartition(parts, key, "_l", "_r")
     return dealt(left, left_id, "l", "r").join(dealt(right, right_id, "r", "l").hint("merge"), [key, "_l", "_r"]).drop("_l", "_r")
 
 

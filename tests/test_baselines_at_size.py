@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from docweave.operators import history
 from docweave.plans import history_queries
+from pyspark.sql import functions as F
 
 
 def _seen(monkeypatch, name, at):
@@ -38,3 +39,11 @@ def test_the_product_is_dealt_in_cells(spark, monkeypatch):
     right = spark.createDataFrame([(k % 4, k) for k in range(40)], "t long, v long")
     met = history._each_with_each(left, right, "t", "p", "v")
     assert sorted(map(tuple, met.collect())) == sorted(map(tuple, left.join(right, "t").collect()))
+
+
+def test_the_product_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(history, "CELL", 5)
+    left = spark.createDataFrame([(k % 2, k) for k in range(60)], "t long, p long")
+    right = spark.createDataFrame([(k % 2, k) for k in range(80)], "t long, v long")
+    met = history._each_with_each(left, right, "t", "p", "v").groupBy(F.spark_partition_id()).count().collect()
+    assert len(met) > spark.sparkContext.defaultParallelism and max(r["count"] for r in met) < 30 * 40
